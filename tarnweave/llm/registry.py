@@ -29,3 +29,12 @@ WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+',
 g AS (SELECT norm, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM t JOIN g USING (norm)
 """
+
+
+@query
+def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnweave.llm.bpe import bpe_encode
+    from tarnweave.llm.vocabularies import public_vocabulary
+
+    out = bpe_encode(documents(spark, sf_dir), public_vocabulary("word_bpe_49k.json"))
+    return out.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
