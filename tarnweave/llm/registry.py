@@ -38,3 +38,11 @@ def op1_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = bpe_encode(documents(spark, sf_dir), public_vocabulary("word_bpe_49k.json"))
     return out.select(F.col("id").alias("doc_id"), "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
+@query
+def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnweave.llm.near_dedup import near_dedup
+
+    out = near_dedup(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
