@@ -46,3 +46,11 @@ def op4_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = near_dedup(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+@query
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnweave.llm.unigram import token_counts
+    from tarnweave.llm.vocabularies import public_vocabulary
+
+    return token_counts(documents(spark, sf_dir), public_vocabulary("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
