@@ -54,3 +54,23 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tarnweave.llm.vocabularies import public_vocabulary
 
     return token_counts(documents(spark, sf_dir), public_vocabulary("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
+
+
+@query
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnweave.llm.mixing import mix_sources
+
+    out = mix_sources(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies")
+
+
+#: The layout that is resharded: 32 shards, by the text's hash.
+OLD_SHARDS, NEW_SHARDS = 32, 40
+
+
+@query
+def op9_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnweave.llm.resharding import reshard, text_key
+
+    out = reshard(documents(spark, sf_dir), F.pmod(text_key(F.col("text")), F.lit(OLD_SHARDS)), NEW_SHARDS)
+    return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
