@@ -74,3 +74,23 @@ def op9_flow_reshard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = reshard(documents(spark, sf_dir), F.pmod(text_key(F.col("text")), F.lit(OLD_SHARDS)), NEW_SHARDS)
     return out.select(F.col("id").alias("doc_id"), "size", F.col("crc").alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
+@query
+def op6_vector_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnweave.llm.vector_dedup import vector_dedup
+
+    out = vector_dedup(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    return out.select(F.col("id").cast("long").alias("vec_id"), "n_links", F.col("component_id").cast("long").alias("component_id"), F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+ORACLES["op6_vector_dedup"] = """
+WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings WHERE label IS NOT NULL),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r AS (SELECT a AS n, b AS m FROM l UNION SELECT r.n, l.b FROM r JOIN l ON r.m = l.a),
+c AS (SELECT n, min(m) AS m FROM r GROUP BY n), k AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT vec_id, coalesce(k.k, 0) AS n_links, coalesce(least(c.m, vec_id), vec_id) AS component_id,
+  coalesce(least(c.m, vec_id), vec_id) = vec_id AS kept
+FROM embeddings LEFT JOIN c ON c.n = vec_id LEFT JOIN k ON k.a = vec_id
+"""
