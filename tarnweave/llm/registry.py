@@ -94,3 +94,11 @@ SELECT vec_id, coalesce(k.k, 0) AS n_links, coalesce(least(c.m, vec_id), vec_id)
   coalesce(least(c.m, vec_id), vec_id) = vec_id AS kept
 FROM embeddings LEFT JOIN c ON c.n = vec_id LEFT JOIN k ON k.a = vec_id
 """
+
+
+@query
+def op5_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnweave.llm.pii import pii_spans
+
+    out = pii_spans(documents(spark, sf_dir))
+    return out.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
