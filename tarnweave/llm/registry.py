@@ -102,3 +102,14 @@ def op5_pii_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     out = pii_spans(documents(spark, sf_dir))
     return out.select(F.col("id").alias("doc_id"), "n_email", "n_ip", "n_card", "n_phone", F.sha2(F.col("base").cast("binary"), 256).alias("base_sha256"), "spans")
+
+
+@query
+def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnweave.llm.language_id import fit, identify
+    from tarnweave.llm.text import learns
+
+    docs = documents(spark, sf_dir)
+    model = fit(docs, learns(F.col("doc_id"), 3, 1))
+    held_out = ~learns(F.col("doc_id"), 3, 1)
+    return identify(docs, model).withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
