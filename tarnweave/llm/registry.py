@@ -113,3 +113,14 @@ def op3_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = fit(docs, learns(F.col("doc_id"), 3, 1))
     held_out = ~learns(F.col("doc_id"), 3, 1)
     return identify(docs, model).withColumnRenamed("id", "doc_id").select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tarnweave.llm.text import learns
+    from tarnweave.llm.toxicity import THRESHOLD, fit_toxicity, score_toxicity
+
+    docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = fit_toxicity(docs, labels.where(learns(F.col("doc_id"), 4, 2)))
+    out = score_toxicity(docs, model).withColumnRenamed("id", "doc_id")
+    return out.select("doc_id", (~learns(F.col("doc_id"), 4, 2)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
