@@ -103,11 +103,11 @@ def _fill(open_: DataFrame) -> DataFrame:
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 20, measure: Column | None = None) -> DataFrame:
-    """Every row's (id, source, size, source_size, target, copies).
+    """Every row's (id, source, size, source_size, target, copies, text_key).
 
     ``measure``: relative inclusion of documents within their source, over ``docs``; by default all alike.
     """
-    cols = [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), _key(F.col(source_col)).alias("s")]
+    cols = [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_key"), _key(F.col(source_col)).alias("s")]
     rows = docs.select(*cols, *([F.greatest(F.coalesce(measure.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("m")] if measure is not None else []))
     rows = materialise(rows, "sized")
     n_rows = rows.count()
@@ -137,4 +137,16 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = rows.where("part <= 0").withColumn("take", F.lit(False)).withColumn("need", F.lit(0.0))
     for part in taken:
         out = out.unionByName(part)
-    return out.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.col("take").cast("long")).alias("copies"))
+    return out.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.col("take").cast("long")).alias("copies"), "text_key")
+
+
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """``docs`` as the mix takes them: each row as often as it has copies, all columns kept."""
+    decided = mix_sources(docs, id_col, text_col, source_col, **options).where("copies > 0")
+    # rows that share id, text and source are interchangeable: one of them stands for all their copies
+    same = decided.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_text"), _key(F.col("source")).alias("_s")).agg(F.sum("copies").alias("_copies"))
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    row = row.withColumns({"_id": F.col("_row").getField(id_col), "_text": F.xxhash64(F.col("_row").getField(text_col)), "_s": _key(F.col("_row").getField(source_col))})
+    row = row.alias("l").join(same.alias("r"), F.expr("l._id <=> r._id and l._text = r._text and l._s = r._s")).select("_row", "l._id", "l._text", "l._s", "_copies")
+    row = row.dropDuplicates(["_id", "_text", "_s"])
+    return row.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")

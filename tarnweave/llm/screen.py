@@ -75,3 +75,16 @@ def screen(rows: DataFrame, key: str, filters: DataFrame, n_seg: int, out: str =
     hits = left.groupBy("seg", "salt").cogroup(right.groupBy("seg", "salt")).applyInPandas(probe_segment, "key long")
     hits = hits.select(F.col("key").alias(key), F.lit(True).alias(out))
     return rows.join(hits, key, "left").withColumn(out, F.coalesce(F.col(out), F.lit(False)))
+
+
+def without(docs: DataFrame, ids: DataFrame, id_col: str) -> DataFrame:
+    """``docs`` without the rows whose ``id_col`` is among ``ids`` (one column, ``id``); null ids stay.
+
+    A filter of the ids lets all other rows pass unshuffled; what it holds back is settled by an exact join.
+    """
+    gone = materialise(ids.where("id is not null").distinct().withColumn("_key", F.xxhash64("id")), "gone")
+    filters, n_seg = build_filters(gone, "_key", gone.count())
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
+    row = screen(row.withColumn("_id", F.col("_row").getField(id_col)).withColumn("_key", F.xxhash64("_id")), "_key", filters, n_seg, "_maybe")
+    doubtful = row.where("_maybe").join(gone.select(F.col("id").alias("_id")), "_id", "left_anti")
+    return row.where("not _maybe").select("_row.*").unionByName(doubtful.select("_row.*"))
