@@ -38,7 +38,8 @@ SAMPLES = BANDS * ROWS
 BITS, SLACK = 1024, 0.16
 #: Members of a block of a bucket in the second round.
 BLOCK = 2048
-REMEMBERED = 500_000
+#: Characters of a slice of texts, and words whose hashes a worker remembers.
+SLICE_CHARS, REMEMBERED = 2 << 20, 200_000
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -139,7 +140,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_CHARS):
                 sets = shingle_sets(texts[a:b])
                 samples = np.stack([minhash(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
@@ -198,11 +199,11 @@ def _confirm(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, t
     def sets(batches):
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
+            for a, b in slices(texts, SLICE_CHARS):
                 found = shingle_sets(texts[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(s.tobytes()).digest() for s in found], pa.binary()), pa.array([s.tobytes() for s in found], pa.binary())], names=["digest", "members"])
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(s.tobytes()).digest() for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["digest", "members"])
 
-    found = rows.mapInArrow(sets, "digest binary, members binary").select(F.xxhash64("digest").alias("node"), "members")
+    found = rows.mapInArrow(sets, "digest binary, members array<long>").select(F.xxhash64("digest").alias("node"), "members")
     found = materialise(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
     # a pivot of very many pairs is split over salts; fewer than (pairs / 50,000) pivots are
     heavy = pairs.groupBy("a").count().where("count > 50000").select("a", F.ceil(F.col("count") / 50000).cast("int").alias("salts"))
@@ -210,16 +211,8 @@ def _confirm(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, t
     left = found.withColumnRenamed("node", "a").join(F.broadcast(heavy), "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
     both = salted.join(left.withColumnRenamed("members", "x"), ["a", "salt"]).join(found.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
 
-    @F.pandas_udf("boolean")
-    def linked(x: pd.Series, y: pd.Series) -> pd.Series:
-        out = np.zeros(len(x), bool)
-        for k, (p, q) in enumerate(zip(x, y)):
-            p, q = np.frombuffer(p, _U), np.frombuffer(q, _U)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out[k] = 100 * both >= percent * (len(p) + len(q) - both)
-        return pd.Series(out)
-
-    return both.where(linked("x", "y")).select("a", "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b")
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 70) -> DataFrame:
@@ -238,6 +231,7 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot, rest = join_groups(full.where("maybe"), repeated, ["digest", "node"], "size", n_rows)
     doubtful = hot.unionByName(rest).where("rep is null or id = rep")
     one = full.where("not maybe").select("node", "n", "bands", "sketch").unionByName(doubtful.select("node", "n", "bands", "sketch"))
+    one = materialise(one, "one")
     # candidates: every member of a bucket with the bucket's pivot
     members = one.select("node", F.explode("bands").alias("bucket"))
     signed = one.select("node", "n", "sketch")
