@@ -1,14 +1,15 @@
-"""Named queries over the driver tables, with the DuckDB SQL each is compared with."""
+"""All named queries of the library, and the flagship."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+from tarnweave.queries import ORACLES, QUERIES
+from tarnweave.queries import build as _build  # noqa: F401  registers its queries
+from tarnweave.queries import text as _text  # noqa: F401
+
+__all__ = ["ORACLES", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+    return QUERIES["sliding_chunks"](spark, sf_dir)

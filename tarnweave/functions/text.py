@@ -121,7 +121,7 @@ def detect_filters(question: Column, tickers: dict[str, str] = TICKERS, forms: d
 class _Text(HTMLParser):
     """Text nodes in document order; tables as pipe-separated rows, headings said twice."""
 
-    VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+    HIDDEN = ("script", "style", "template")
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
@@ -129,9 +129,12 @@ class _Text(HTMLParser):
         self.tables: list[dict] = []
         self.heading: list[str] | None = None
         self.at = 0
+        self.hidden = 0
 
     def handle_starttag(self, tag, attrs):
-        if tag == "table":
+        if tag in self.HIDDEN:
+            self.hidden += 1
+        elif tag == "table":
             self.tables.append({"rows": [], "cell": None})
         elif self.tables:
             table = self.tables[-1]
@@ -146,7 +149,9 @@ class _Text(HTMLParser):
             self.heading, self.at = [], len(self.out)
 
     def handle_endtag(self, tag):
-        if tag == "table" and self.tables:
+        if tag in self.HIDDEN:
+            self.hidden = max(0, self.hidden - 1)
+        elif tag == "table" and self.tables:
             rows = [" | ".join(" ".join(c) for c in r) for r in self.tables.pop()["rows"] if r]
             block = "[TABLE]\n" + "\n".join(rows) + "\n[/TABLE]"
             if self.tables and self.tables[-1]["cell"] is not None:
@@ -161,7 +166,7 @@ class _Text(HTMLParser):
 
     def handle_data(self, data):
         data = data.strip()
-        if not data:
+        if not data or self.hidden:
             return
         if self.tables:
             if self.tables[-1]["cell"] is not None:
@@ -183,6 +188,10 @@ def html_text(html: str | None) -> str | None:
     return re.sub(r"\n{3,}", "\n\n", text)
 
 
-@F.pandas_udf("string")
-def html_to_text(html: pd.Series) -> pd.Series:
+def _html_texts(html: pd.Series) -> pd.Series:
     return html.map(html_text, na_action="ignore")
+
+
+def html_to_text(html: Column | str) -> Column:
+    """T1 by Arrow batches."""
+    return F.pandas_udf(_html_texts, "string")(html)
