@@ -36,8 +36,8 @@ BANDS, ROWS = 64, 5
 SAMPLES = BANDS * ROWS
 #: Bits of the odd sketch, and how far (in similarity) under the threshold its estimate may be: over four deviations.
 BITS, SLACK = 1024, 0.16
-#: Members of a block of a bucket in the second round.
-BLOCK = 2048
+#: Members of a block of a bucket in the second round, and of small buckets that are dealt with together.
+BLOCK, TOGETHER = 2048, 8192
 #: Characters of a slice of texts, and words whose hashes a worker remembers.
 SLICE_CHARS, REMEMBERED = 2 << 20, 200_000
 
@@ -169,24 +169,28 @@ def _near_sizes(a: str, b: str, percent: int) -> Column:
 
 
 def _blocked(pdf: pd.DataFrame, percent: int, flips: int) -> pd.DataFrame:
-    """Pairs of two blocks of a bucket, of different components, that sizes and sketches don't rule out."""
+    """Pairs of two blocks of a bucket, of different components, that sizes and sketches don't rule out.
+
+    Small buckets come many to a call.
+    """
     i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
-    pdf = pdf.sort_values("node", kind="stable").drop_duplicates("node")
-    left = pdf[pdf["own"] == i] if i != j else pdf
-    right = pdf[pdf["own"] == j] if i != j else pdf
-    if not len(left) or not len(right):
-        return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-    rs, rn, rc, rid = np.stack(right["sketch"].to_numpy()), right["n"].to_numpy(), right["comp"].to_numpy(), right["node"].to_numpy()
+    pdf = pdf.sort_values(["bucket", "node"], kind="stable")
+    bucket, node, comp, own, n = (pdf[c].to_numpy(np.int64) for c in ("bucket", "node", "comp", "own", "n"))
+    sketch = np.stack(pdf["sketch"].to_numpy())
+    cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
     out = []
-    for s, n, c, node in zip(left["sketch"], left["n"], left["comp"], left["node"]):
-        ok = (rc != c) & (np.minimum(rn, n) * 100 >= np.maximum(rn, n) * percent)
-        if i == j:
-            ok &= rid > node
-        at = np.flatnonzero(ok)
-        if len(at):
-            at = at[np.bitwise_count(rs[at] ^ np.asarray(s, np.int64)).sum(axis=1, dtype=np.int64) <= flips]
-            out += [(min(node, x), max(node, x)) for x in rid[at].tolist()]
-    return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+    for a, b in zip(cuts, cuts[1:]):
+        at = np.arange(a, b)
+        left, right = (at[own[a:b] == i], at[own[a:b] == j]) if i != j else (at, at)
+        for x in left.tolist():
+            ok = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
+            if i == j:
+                ok = ok[node[ok] > node[x]]
+            if len(ok):
+                ok = ok[np.bitwise_count(sketch[ok] ^ sketch[x]).sum(axis=1, dtype=np.int64) <= flips]
+                out.append(np.stack([np.minimum(node[ok], node[x]), np.maximum(node[ok], node[x])], axis=1))
+    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
 def _confirm(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
@@ -227,14 +231,19 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # one row for each set; a filter of the repeated sets spares all other rows a shuffle
     repeated = classes.where("size > 1").select("digest", "node", "rep", "size")
     filters, n_seg = build_filters(repeated, "node", repeated.count())
-    full = screen(rows.where("n > 0 and id is not null").withColumn("node", F.xxhash64("digest")), "node", filters, n_seg)
-    hot, rest = join_groups(full.where("maybe"), repeated, ["digest", "node"], "size", n_rows)
+    whole = screen(rows.where("n > 0 and id is not null").withColumn("node", F.xxhash64("digest")), "node", filters, n_seg)
+    hot, rest = join_groups(whole.where("maybe"), repeated, ["digest", "node"], "size", n_rows)
     doubtful = hot.unionByName(rest).where("rep is null or id = rep")
-    one = full.where("not maybe").select("node", "n", "bands", "sketch").unionByName(doubtful.select("node", "n", "bands", "sketch"))
+    one = whole.where("not maybe").select("node", "n", "bands", "sketch").unionByName(doubtful.select("node", "n", "bands", "sketch"))
     one = materialise(one, "one")
     # candidates: every member of a bucket with the bucket's pivot
     members = one.select("node", F.explode("bands").alias("bucket"))
     signed = one.select("node", "n", "sketch")
+    # only the counts of all buckets are shuffled: a filter of those that several hold picks their members
+    full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
+    full = materialise(full, "full")
+    filters, n_seg = build_filters(full, "bucket", full.count())
+    members = materialise(screen(members, "bucket", filters, n_seg).where("maybe").select("bucket", "node"), "members")
     buckets = members.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("far"), F.count(F.lit(1)).alias("size"))
     buckets = materialise(buckets.where("pivot <> far"), "buckets")
     many = buckets.where("size > 2")
@@ -260,8 +269,11 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         blocks = F.ceil(F.col("size") / BLOCK).cast("int")
         open_ = open_.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
         open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        open_ = open_.select("bucket", "node", "comp", "n", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        more = open_.groupBy("bucket", "i", "j").applyInPandas(lambda pdf: _blocked(pdf, percent, flips), "a long, b long").distinct()
+        # a bucket of one block shares its task with others; blocks of large buckets are tasks of their own
+        few = F.pmod(F.xxhash64("bucket"), F.lit(max(1, mixed.agg(F.sum("size")).first()[0] // TOGETHER)))
+        open_ = open_.withColumn("task", F.when(F.col("k") == 1, few).otherwise(F.col("bucket")))
+        open_ = open_.select("task", "bucket", "node", "comp", "n", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+        more = open_.groupBy("task", "i", "j").applyInPandas(lambda pdf: _blocked(pdf, percent, flips), "a long, b long").distinct()
         more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "more")
         if more.limit(1).count():
             links = links.unionByName(materialise(_confirm(docs, more, nodes, id_col, text_col, percent), "late"))
