@@ -54,6 +54,7 @@ def build_paths(rows: DataFrame) -> DataFrame:
     return rows.select(
         "qid",
         "shadow_id",
+        *(["place"] if "place" in rows.columns else []),
         F.array_compact(F.array("shadow_id", "section_id", "doc_id", last)).alias("node_ids"),
         F.array_compact(F.array(F.lit("HAS_SHADOW"), F.lit("HAS_SECTION"), kind)).alias("edge_types"),
         F.round("score", 4).alias("score"),
