@@ -176,7 +176,7 @@ def _blocked(pdf: pd.DataFrame, percent: int, flips: int) -> pd.DataFrame:
     i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
     pdf = pdf.sort_values(["bucket", "node"], kind="stable")
     bucket, node, comp, own, n = (pdf[c].to_numpy(np.int64) for c in ("bucket", "node", "comp", "own", "n"))
-    sketch = np.stack(pdf["sketch"].to_numpy())
+    sketch = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(_U)  # NumPy counts the bits of absolute values
     cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
     out = []
     for a, b in zip(cuts, cuts[1:]):
