@@ -66,7 +66,7 @@ def read_texts(spark: SparkSession, paths: list[str], glob: str = "*.txt") -> Da
     """(file, folder, text) of whole text files; bytes that aren't UTF-8 are dropped."""
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(paths)
     parts = F.split("path", "/")
-    text = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
+    text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
     return rows.select(F.element_at(parts, -1).alias("file"), F.element_at(parts, -2).alias("folder"), text.alias("text"))
 
 
