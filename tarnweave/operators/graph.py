@@ -59,6 +59,12 @@ def upsert_vectors(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new)
 
 
+def upsert_keywords(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Edges (shadow_id, phrase, score); a repeated edge takes the new score."""
+    key = ["shadow_id", "phrase"]
+    return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new.dropDuplicates(key))
+
+
 def duplicate_ids(nodes: DataFrame, key: str = "id") -> DataFrame:
     """Ids that break uniqueness."""
     return nodes.groupBy(key).count().where("count > 1")

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tarnweave.functions.models import Embedder, hashing_embedder, leading_summary
 from tarnweave.functions.text import clean_text, parse_filename
@@ -79,6 +78,5 @@ def carry_summaries(new: DataFrame, old: DataFrame) -> DataFrame:
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
-    """Distinct values in the order they first appear."""
-    rank = F.row_number().over(Window.orderBy("first"))
-    return rows.groupBy(key).agg(F.min(order).alias("first")).withColumn("place", rank)
+    """Distinct values with where they first appear."""
+    return rows.groupBy(key).agg(F.min(order).alias("first"))
