@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,7 +15,7 @@ from tarnweave.queries import query
 from tarnweave.queries.build import _COS, _DF, _VECS, KEYWORDS, PHRASES, keyword_table
 from tarnweave.queries.text import GRAPH
 from tarnweave.sources import standin
-from tarnweave.storage import materialise, shared_dir
+from tarnweave.storage import materialise, scratch
 from tarnweave.streaming.uploads import stream_uploads
 
 QUESTIONS = [
@@ -227,7 +225,7 @@ def upload_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def incremental_upload(spark: SparkSession, sf_dir: str) -> DataFrame:
     """M2 as a stream: all documents land as files and go through micro-batches."""
-    base = f"{shared_dir(spark)}/tarnweave/{uuid.uuid4().hex}-stream"
+    base = scratch(spark, "stream")
     _uploads(spark, sf_dir).write.parquet(f"{base}/landing")
     ids = standin.filings(spark, sf_dir).select(F.col("doc_id").alias("id"))
     stream_uploads(spark, f"{base}/landing", f"{base}/out", _known(spark, sf_dir), ids, section=400, size=200, stride=160).awaitTermination()

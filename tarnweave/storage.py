@@ -33,16 +33,22 @@ def _clean() -> None:
             return
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the application ends."""
+    if not _made:
+        atexit.register(_clean)
+    path = f"{shared_dir(spark)}/tarnweave/{uuid.uuid4().hex}-{label}"
+    _made.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
     The files go when the application ends.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tarnweave/{uuid.uuid4().hex}-{label}"
-    if not _made:
-        atexit.register(_clean)
-    _made.append((spark, path))
+    path = scratch(spark, label)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
