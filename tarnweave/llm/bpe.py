@@ -25,9 +25,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tarnweave.llm.worker import held
+
 #: Text of one slice whose words are indexed together, and words that a worker remembers.
 SLICE_CHARS = 8 << 20
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _blank = re.compile(f"[{_SPACE}]+")
@@ -115,8 +117,8 @@ class PairIndexBPE:
         sym = self.inner[flat]
         sym[ends - 1] = self.last[flat[ends - 1]]
         n = len(sym)
-        owner = np.repeat(np.arange(len(words)), size)
-        nxt, prv = np.arange(1, n + 1), np.arange(-1, n - 1)
+        owner = np.repeat(np.arange(len(words), dtype=np.int32), size)
+        nxt, prv = np.arange(1, n + 1, dtype=np.int32), np.arange(-1, n - 1, dtype=np.int32)
         nxt[ends - 1] = -1
         prv[ends - size] = -1
         lists: dict[int, list[np.ndarray]] = {}
@@ -227,14 +229,8 @@ class PairIndexBPE:
         return " ".join([self.tokens[i] for i in np.frombuffer(ids, "<u4").tolist() if i in self.tokens])
 
 
-_coders: dict[str, PairIndexBPE] = {}
-
-
 def coder(path: str) -> PairIndexBPE:
-    if path not in _coders:
-        _coders.clear()
-        _coders[path] = PairIndexBPE(path)
-    return _coders[path]
+    return held(f"bpe {path}", lambda: PairIndexBPE(path))
 
 
 def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:

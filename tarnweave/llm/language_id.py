@@ -20,9 +20,9 @@ from pyspark.sql.window import Window
 
 from tarnweave.llm.bpe import slices
 from tarnweave.llm.crf import Crf, scan, train
+from tarnweave.llm.worker import release
 
 SAMPLE_ROWS, SAMPLE_CHARS = 150, 20_000
-_held: dict[int, Crf] = {}
 
 
 def fit(docs: DataFrame, learns: Column, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Crf | None:
@@ -33,21 +33,14 @@ def fit(docs: DataFrame, learns: Column, text_col: str = "text", lang_col: str =
     return train(sorted((r["text"], r["lang"]) for r in sample))
 
 
-def _model(sent) -> Crf | None:
-    key = id(sent)
-    if key not in _held:
-        _held.clear()
-        _held[key] = sent.value
-    return _held[key]
-
-
 def identify(docs: DataFrame, model: Crf | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's (id, lang_pred, score). A map over partitions; the model, of fixed size a language, is broadcast."""
     kind = docs.schema[id_col].dataType.simpleString()
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        crf = _model(sent)
+        release()  # the broadcast model carries the words it remembers
+        crf = sent.value
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts, 4 << 20):

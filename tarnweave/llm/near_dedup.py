@@ -28,6 +28,7 @@ from tarnweave.llm.bpe import slices
 from tarnweave.llm.components import components
 from tarnweave.llm.screen import build_filters, screen
 from tarnweave.llm.skew import join_groups
+from tarnweave.llm.worker import held
 from tarnweave.storage import materialise
 
 SHINGLE = 5
@@ -65,17 +66,15 @@ class _Words(dict):
         return h
 
 
-_words = _Words()
-
-
 def shingle_sets(texts: list[str | None]) -> list[np.ndarray]:
     """Each text's distinct shingles as sorted 64-bit hashes; ASCII letters in lower case, words between white space."""
-    if len(_words) > REMEMBERED:
-        _words.clear()
+    words = held("near_dedup words", _Words)
+    if len(words) > REMEMBERED:
+        words.clear()
     # bytes.lower() touches A-Z alone, bytes.split() splits at 0x20 and 0x09-0x0D
     rows = [t.encode("utf-8", "surrogatepass").lower().split() if t else [] for t in texts]
     sizes = np.array([len(r) for r in rows], np.int64)
-    get = _words.__getitem__
+    get = words.__getitem__
     flat = np.fromiter((h for r in rows for h in map(get, r)), _U, int(sizes.sum()))
     ends = np.cumsum(sizes)
     joint = np.zeros(0, _U)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tarnweave.llm.bpe import slices
+from tarnweave.llm.worker import release
 
 KINDS = ("email", "ip", "card", "phone", "url", "iban", "account", "key")
 BASE = KINDS[:4]
@@ -143,6 +144,7 @@ def pii_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        release()
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts):

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tarnweave.llm.bpe import slices
+from tarnweave.llm.worker import release
 from tarnweave.storage import materialise
 
 #: Labelled documents that are learned from, at most, and the most seed terms of each kind.
@@ -106,6 +107,7 @@ def seed_terms(sampled: DataFrame) -> tuple[list[str], list[str], tuple[int, int
     """Toxic and other seed terms from (text, y), and how many documents each class has."""
 
     def count(batches):
+        release()
         tokens, n = Tokens(), {}
         for batch in batches:
             for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -140,6 +142,7 @@ def induced_words(docs: DataFrame, text_col: str, toxic: list[str]) -> list[str]
     sent = docs.sparkSession.sparkContext.broadcast(toxic)
 
     def count(batches):
+        release()
         total: dict[str, list[int]] = {}
         marked = passage_count = 0
         tokens = Tokens()
@@ -189,6 +192,7 @@ def word_graph(docs: DataFrame, text_col: str, words: list[str]) -> DataFrame:
     width = max(1, len(words))
 
     def count(batches):
+        release()
         tokens, kept, n = Tokens(sent.value), [], 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -306,6 +310,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     index, lexicon = model.lexicon()
 
     def featured(batches):
+        release()
         tokens = Tokens(index)
         for batch in batches:
             x = features(batch.column(0).to_pylist(), tokens, lexicon)
@@ -323,6 +328,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
     fit = np.array(model.fit)
 
     def run(batches):
+        release()
         tokens = Tokens(sent.value[0])
         for batch in batches:
             texts = batch.column(1).to_pylist()
@@ -341,6 +347,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
     at = docs.columns.index(text_col)
 
     def run(batches):
+        release()
         tokens = Tokens(sent.value[0])
         for batch in batches:
             texts = batch.column(at).cast(pa.string()).to_pylist()

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tarnweave.llm.bpe import slices
+from tarnweave.llm.worker import held
 
 MARK = "▁"
 PENALTY = 10.0
@@ -114,18 +115,12 @@ class CountViterbi:
         return [sum([known[w] for w in r]) for r in rows]
 
 
-_models: dict[str, CountViterbi] = {}
-
-
 def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each row's (id, n_tokens). A map over partitions: no shuffle, two columns read."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        if path not in _models:
-            _models.clear()
-            _models[path] = CountViterbi(load_pieces(path))
-        model = _models[path]
+        model = held(f"unigram {path}", lambda: CountViterbi(load_pieces(path)))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts, 4 << 20):
