@@ -28,8 +28,8 @@ from pyspark.sql import DataFrame
 from tarnweave.llm.worker import held
 
 #: Text of one slice whose words are indexed together, and words that a worker remembers.
-SLICE_CHARS = 8 << 20
-REMEMBERED = 200_000
+SLICE_CHARS = 4 << 20
+REMEMBERED = 100_000
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _blank = re.compile(f"[{_SPACE}]+")

@@ -39,7 +39,7 @@ PASSAGE, SHIFT = 128, 5.0
 LEAST_COUNT, LEAST_SHARE = 3, 2e-4
 RESTART, STEPS = 0.3, 6
 THRESHOLD = 0.3
-REMEMBERED = 300_000
+REMEMBERED = 100_000
 
 _letters = re.compile(r"[^\W\d_]+")
 
@@ -148,7 +148,7 @@ def induced_words(docs: DataFrame, text_col: str, toxic: list[str]) -> list[str]
         tokens = Tokens()
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 4 << 20):
+            for a, b in slices(texts, 2 << 20):
                 tokens.reset()
                 flat, sizes = tokens.of(texts[a:b])
                 if not len(flat):
@@ -196,7 +196,7 @@ def word_graph(docs: DataFrame, text_col: str, words: list[str]) -> DataFrame:
         tokens, kept, n = Tokens(sent.value), [], 0
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 4 << 20):
+            for a, b in slices(texts, 2 << 20):
                 tokens.reset()
                 flat, sizes = tokens.of(texts[a:b])
                 if not len(flat):
@@ -332,7 +332,7 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         tokens = Tokens(sent.value[0])
         for batch in batches:
             texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, 4 << 20):
+            for a, b in slices(texts, 2 << 20):
                 tokens.reset()
                 score = _score(features(texts[a:b], tokens, sent.value[1]), fit)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score)], names=["id", "score"])
@@ -351,7 +351,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
         tokens = Tokens(sent.value[0])
         for batch in batches:
             texts = batch.column(at).cast(pa.string()).to_pylist()
-            for a, b in slices(texts, 4 << 20):
+            for a, b in slices(texts, 2 << 20):
                 tokens.reset()
                 score = _score(features(texts[a:b], tokens, sent.value[1]), fit)
                 yield batch.slice(a, b - a).filter(pa.array(score < threshold))
