@@ -114,72 +114,148 @@ def min_label(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         now = now.drop("was")
 
 
-def _local_moves(a: np.ndarray, b: np.ndarray, n: int, m: float) -> np.ndarray:
-    """Louvain over one component: nodes in id order, levels until no gain; ``m`` counts the whole graph's edges."""
-    membership = np.arange(n)
-    weights: dict[tuple[int, int], float] = {}
-    for x, y in zip(a.tolist(), b.tolist()):
-        key = (min(x, y), max(x, y))
-        weights[key] = weights.get(key, 0.0) + 1.0
-    size = n
-    while True:
-        near: list[dict[int, float]] = [{} for _ in range(size)]
-        degree = [0.0] * size
-        for (x, y), w in weights.items():
-            degree[x] += w
-            degree[y] += w
-            if x != y:
-                near[x][y] = w
-                near[y][x] = w
-        community, total = list(range(size)), degree[:]
-        moved_any, moved = False, True
-        while moved:
-            moved = False
-            for x in range(size):
-                own = community[x]
-                links: dict[int, float] = {}
-                for y, w in near[x].items():
-                    links[community[y]] = links.get(community[y], 0.0) + w
-                total[own] -= degree[x]
-                best, gain = own, links.get(own, 0.0) - total[own] * degree[x] / (2 * m)
-                for c in sorted(links):
-                    g = links[c] - total[c] * degree[x] / (2 * m)
-                    if g > gain + 1e-9:
-                        best, gain = c, g
-                total[best] += degree[x]
-                if best != own:
-                    community[x], moved, moved_any = best, True, True
-        if not moved_any:
-            return membership
-        _, dense = np.unique(np.array(community), return_inverse=True)
-        membership = dense[membership]
-        folded: dict[tuple[int, int], float] = {}
-        for (x, y), w in weights.items():
-            key = (min(dense[x], dense[y]), max(dense[x], dense[y]))
-            folded[key] = folded.get(key, 0.0) + w
-        weights, size = folded, int(dense.max()) + 1
-
-
-#: Edges of a component that one task may take for Louvain; larger ones go by label propagation.
-LOUVAIN_EDGES = 2_000_000
+_PRIME = 2**31 - 1
+
+
+def _role(level: int, turn: int) -> tuple[int, int]:
+    return tuple(np.random.default_rng([level, turn]).integers(1, _PRIME, 2).tolist())
+
+
+def _receives(name, level: int, turn: int):
+    """Whether communities, by their ids, take nodes in this round or give them; an array or a Column."""
+    a, b = _role(level, turn)
+    if isinstance(name, Column):
+        return F.pmod(F.pmod(name, F.lit(_PRIME)) * F.lit(a) + F.lit(b), F.lit(_PRIME)).bitwiseAND(1 << 15) > 0
+    return ((name % _PRIME * a + b) % _PRIME & 1 << 15) > 0
+
 
+def _communities(x: np.ndarray, y: np.ndarray, name: np.ndarray, m: int) -> np.ndarray:
+    """Louvain over one component in memory: each node's community, by its smallest member's name.
 
-def _propagate(links: DataFrame, nodes: DataFrame, rounds: int) -> DataFrame:
-    """Most frequent label among neighbours, smallest on ties; alternate halves move, so that labels don't swap."""
-    now = materialise(nodes.select("id", F.col("id").alias("label")), "labels")
-    for r in range(rounds):
-        votes = links.join(now.select(F.col("id").alias("other"), "label"), "other").groupBy("node", "label").count()
-        top = votes.groupBy("node").agg(F.max_by("label", F.struct("count", -F.col("label"))).alias("top"))
-        moves = (F.pmod(F.xxhash64("id"), F.lit(2)) == r % 2) & F.col("top").isNotNull()
-        now = materialise(now.join(top.withColumnRenamed("node", "id"), "id", "left").select("id", F.when(moves, F.col("top")).otherwise(F.col("label")).alias("label")), "labels")
-    return now
+    ``x`` and ``y`` are the edges' ends as places in ``name``, which is sorted; ``m`` counts the whole graph's edges.
+    The rule is that of ``_communities_by_rounds``, with the same result.
+    """
+    member = np.arange(len(name))
+    x, y = np.concatenate([x, y]), np.concatenate([y, x])
+    w = np.ones(len(x), np.int64)
+    degree = np.bincount(x, minlength=len(name))
+    sums = lambda at, v, n: np.bincount(at, weights=v, minlength=n).astype(np.int64)
+    level = 0
+    while True:
+        size = len(name)
+        score = lambda c: 2 * m * int(w[c[x] == c[y]].sum()) - int((sums(c, degree, size) ** 2).sum())  # noqa: B023, E731
+        community, turn = np.arange(size), 0
+        while True:
+            total = sums(community, degree, size)
+            key, at = np.unique(x * size + community[y], return_inverse=True)
+            links, node, target = sums(at, w, len(key)), key // size, key % size
+            same, own = target == community[node], np.zeros(size, np.int64)
+            own[node[same]] = links[same]
+            gain = 2 * m * (links - own[node]) - degree[node] * (total[target] - total[community[node]] + degree[node])
+            gains = ~same & (gain > 0)
+            if not gains.any():
+                break
+            node, target, gain = node[gains], target[gains], gain[gains]
+            order = np.lexsort((target, -gain, node))
+            order = order[np.unique(node[order], return_index=True)[1]]
+            node, target, gain = node[order], target[order], gain[order]
+            source, takes = community[node], _receives(name, level, turn)
+            chosen = ~takes[source] & takes[target]
+            moved = community.copy()
+            moved[node[chosen]] = target[chosen]
+            if score(moved) <= score(community):
+                rank = np.empty(len(node), np.int64)
+                rank[np.lexsort((node, -gain))] = np.arange(len(node))
+                first = np.full(size, len(node))
+                np.minimum.at(first, source, rank)
+                np.minimum.at(first, target, rank)
+                chosen = (first[source] == rank) & (first[target] == rank)
+                moved = community.copy()
+                moved[node[chosen]] = target[chosen]
+            community, turn = moved, turn + 1
+        if not turn:
+            return name[member]
+        least = np.full(size, size)
+        np.minimum.at(least, community, np.arange(size))
+        kept, dense = np.unique(least[community], return_inverse=True)
+        name, member, degree = name[kept], dense[member], sums(dense, degree, len(kept))
+        x, y = dense[x], dense[y]
+        key, at = np.unique((x * len(kept) + y)[x != y], return_inverse=True)
+        x, y, w = key // len(kept), key % len(kept), sums(at, w[x != y], len(key))
+        level += 1
+
+
+def _round(links: DataFrame, now: DataFrame, m: int, level: int, turn: int) -> DataFrame | None:
+    """One round of moves over ``now`` (root, node, degree, community); None where no node gains by a move."""
+    exact = lambda c: c.cast("decimal(19,0)")
+    twice = exact(F.lit(2 * m))
+    total = now.groupBy("community").agg(F.sum("degree").alias("total"))
+    held = now.join(total, "community")
+    near = links.join(now.select(F.col("node").alias("other"), F.col("community").alias("target")), "other").groupBy("node", "target").agg(F.sum("weight").alias("links"))
+    near = near.join(held, "node").join(total.select(F.col("community").alias("target"), F.col("total").alias("there")), "target")
+    same, d = F.col("target") == F.col("community"), F.col("degree")
+    value = twice * exact(F.col("links")) - exact(d) * exact(F.when(same, F.col("there") - d).otherwise(F.col("there")))
+    best = near.withColumn("value", value).groupBy("root", "node", F.col("community").alias("source")).agg(
+        F.max(F.when(same, F.col("value"))).alias("own"),
+        F.min(F.when(~same, F.struct((-F.col("value")).alias("loss"), "target"))).alias("best"),
+        F.max(-exact(d) * exact(F.col("total") - d)).alias("alone"),
+    )
+    gain = -F.col("best.loss") - F.coalesce("own", "alone")
+    moves = materialise(best.where("best is not null").select("root", "node", "source", "best.target", gain.alias("gain")).where("gain > 0"), "moves")
+    if moves.isEmpty():
+        return None
+    chosen = moves.where(~_receives(F.col("source"), level, turn) & _receives(F.col("target"), level, turn))
+    tried = materialise(now.join(chosen.select("node", "target"), "node", "left").select("root", "node", "degree", "community", F.coalesce("target", "community").alias("moved")), "tried")
+    ends = links.join(tried.select("node", "community", "moved"), "node").join(tried.select(F.col("node").alias("other"), F.col("community").alias("c"), F.col("moved").alias("d")), "other")
+    inside = ends.groupBy("root").agg(F.sum(F.col("weight") * ((F.col("moved") == F.col("d")).cast("long") - (F.col("community") == F.col("c")).cast("long"))).alias("inside"))
+    squares = lambda c, out: tried.groupBy("root", c).agg(F.sum("degree").alias("t")).groupBy("root").agg(F.sum(exact(F.col("t")) * exact(F.col("t"))).alias(out))
+    change = inside.join(squares("community", "before"), "root").join(squares("moved", "after"), "root")
+    better = materialise(change.where(twice * exact(F.col("inside")) - (F.col("after") - F.col("before")) > 0).select("root"), "better")
+    rest = moves.join(better, "root", "left_anti")
+    if rest.isEmpty():
+        return tried.select("root", "node", "degree", F.col("moved").alias("community"))
+    rest = rest.withColumn("rank", F.struct((-F.col("gain")).alias("loss"), "node"))
+    first = rest.select(F.explode(F.array("source", "target")).alias("c"), "rank").groupBy("c").agg(F.min("rank").alias("first"))
+    alone = rest.join(first.select(F.col("c").alias("source"), F.col("first").alias("f")), "source").join(first.select(F.col("c").alias("target"), F.col("first").alias("g")), "target").where("rank = f and rank = g")
+    both = tried.join(better.withColumn("better", F.lit(True)), "root", "left").join(alone.select("node", "target"), "node", "left")
+    return materialise(both.select("root", "node", "degree", F.when(F.col("better"), F.col("moved")).otherwise(F.coalesce("target", "community")).alias("community")), "communities")
+
+
+def _communities_by_rounds(edges: DataFrame, m: int) -> DataFrame:
+    """Louvain's local moves and folding as tables: (id, cluster_id) for edges (root, id_a, id_b) of components of any size.
+
+    In a round each community gives nodes or takes them, by a hash, and every node whose best move goes from a giver to
+    a taker makes it. Where that doesn't raise a component's modularity, only moves go that share no community with a
+    better one; their gains add up. So each round raises it (sums are whole numbers), and rounds end when no move gains.
+    """
+    flip = edges.select("root", F.col("id_b").alias("node"), F.col("id_a").alias("other"))
+    links = materialise(edges.select("root", F.col("id_a").alias("node"), F.col("id_b").alias("other")).unionByName(flip).withColumn("weight", F.lit(1).cast("long")), "links")
+    nodes = materialise(links.groupBy("root", "node").agg(F.sum("weight").alias("degree")), "nodes")
+    member, level = nodes.select(F.col("node").alias("id"), "node"), 0
+    while True:
+        now, turn = nodes.withColumn("community", F.col("node")), 0
+        while (moved := _round(links, now, m, level, turn)) is not None:
+            now, turn = moved, turn + 1
+        if not turn:
+            return member.select("id", F.col("node").alias("cluster_id"))
+        least = now.groupBy("community").agg(F.min("node").alias("least"))
+        to = materialise(now.join(least, "community").select("root", "node", "degree", "least"), "folded")
+        member = materialise(member.join(to.select("node", "least"), "node").select("id", F.col("least").alias("node")), "members")
+        nodes = materialise(to.groupBy("root", F.col("least").alias("node")).agg(F.sum("degree").alias("degree")), "nodes")
+        ends = links.join(to.select("node", F.col("least").alias("a")), "node").join(to.select(F.col("node").alias("other"), F.col("least").alias("b")), "other")
+        links = materialise(ends.where("a <> b").groupBy("root", F.col("a").alias("node"), F.col("b").alias("other")).agg(F.sum("weight").alias("weight")), "links")
+        level += 1
+
+
+#: Edges of a component that one task may take; larger ones go through rounds over tables, with the same result.
+LOUVAIN_EDGES = 2_000_000
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, limit: int = LOUVAIN_EDGES, rounds: int = 12) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, limit: int = LOUVAIN_EDGES) -> DataFrame:
     """(id, cluster_id) for every node (D9), over unweighted undirected edges (D10); ids are numbers.
 
-    Components are independent tasks; a cluster's id is its smallest member. Components over ``limit`` edges aren't
-    gathered: they are clustered by label propagation.
+    A cluster's id is its smallest member. Components are independent tasks; those over ``limit`` edges aren't gathered
+    but take the same moves as distributed rounds.
     """
     edges = materialise(edges.where("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b")).distinct(), "edges")
     m = edges.count()
@@ -190,15 +266,11 @@ def louvain(nodes: DataFrame, edges: DataFrame, limit: int = LOUVAIN_EDGES, roun
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         ids, at = np.unique(np.concatenate([pdf["id_a"], pdf["id_b"]]), return_inverse=True)
-        member = _local_moves(at[: len(pdf)], at[len(pdf) :], len(ids), float(m))
-        least = pd.Series(ids).groupby(member).transform("min")
-        return pd.DataFrame({"id": ids, "cluster_id": least})
+        return pd.DataFrame({"id": ids, "cluster_id": _communities(at[: len(pdf)], at[len(pdf) :], ids, m)})
 
     found = held.join(large, "root", "left_anti").groupBy("root").applyInPandas(one, "id long, cluster_id long")
     if large.limit(1).count():
-        inner = held.join(large, "root", "left_semi")
-        links = materialise(undirected(inner), "inner")
-        found = found.unionByName(_propagate(links, links.select(F.col("node").alias("id")).distinct(), rounds).withColumnRenamed("label", "cluster_id"))
+        found = found.unionByName(_communities_by_rounds(held.join(large, "root", "left_semi").select("root", "id_a", "id_b"), m))
     return nodes.select("id").distinct().join(found, "id", "left").select("id", F.coalesce("cluster_id", "id").alias("cluster_id"))
 
 

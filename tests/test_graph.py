@@ -44,6 +44,19 @@ def test_louvain(spark):
     assert spread.count() == 16 and G.modularity(edges, spread) > 0.3
 
 
+def test_louvain_is_the_same_at_every_size(spark):
+    i, j = np.triu_indices(40, 1)
+    inside = i // 10 == j // 10
+    kept = np.random.default_rng(3).random(len(i)) < np.where(inside, 0.8, 0.02)
+    pairs = [*zip(i[kept].tolist(), j[kept].tolist()), *((500 + k, 500 + (k + 1) % 9) for k in range(9))]  # and a ring
+    edges = spark.createDataFrame(pairs, "id_a long, id_b long")
+    nodes = spark.createDataFrame([(k,) for k in [*range(40), *range(500, 509)]], "id long")
+    got = G.louvain(nodes, edges)
+    assert rows(G.louvain(nodes, edges, limit=0), "id", "cluster_id") == rows(got, "id", "cluster_id")
+    planted = nodes.select("id", F.expr("id div 10 * 10 cluster_id"))
+    assert G.modularity(edges, got) >= G.modularity(edges, planted)
+
+
 def test_traversals(spark):
     tree = spark.createDataFrame([("s1_c2", "t", "s1", "d1"), ("s1_c10", "t", "s1", "d1"), ("s2_c1", "t", "s2", "d2"), ("s3_c1", "t", "s3", "d3")], "shadow_id string, text string, section_id string, doc_id string").withColumn("ticker", F.lit(None).cast("string"))
     anchors = spark.createDataFrame([(1, "s1_c2", 0.5)], "qid long, shadow_id string, score double")
