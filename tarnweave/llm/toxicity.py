@@ -136,14 +136,14 @@ def seed_terms(sampled: DataFrame) -> tuple[list[str], list[str], tuple[int, int
 def induced_words(docs: DataFrame, text_col: str, toxic: list[str]) -> list[str]:
     """Words over-represented in passages with toxic seeds.
 
-    Each partition counts a word's passages only if the word met a seed there, so that the ratio is never understated:
-    the graph's own counts settle what stays.
+    A first pass counts the passages that each word shares with toxic seeds; a second one counts all passages of the
+    words that do so often enough, which are fewer than PASSAGE / LEAST_SHARE.
     """
     sent = docs.sparkSession.sparkContext.broadcast(toxic)
 
-    def count(batches):
+    def shared(batches):
         release()
-        total: dict[str, list[int]] = {}
+        total: dict[str, int] = {}
         marked = passage_count = 0
         tokens = Tokens()
         for batch in batches:
@@ -163,27 +163,38 @@ def induced_words(docs: DataFrame, text_col: str, toxic: list[str]) -> list[str]
                 passage_count += n
                 marked += int(hit.sum())
                 width = len(tokens.index)
-                near = np.unique((place * width + flat)[hit[place]]) % width
-                with_seed = np.bincount(near, minlength=width)
-                met = with_seed > 0
-                some = met[flat]
-                every = np.bincount(np.unique(place[some] * width + flat[some]) % width, minlength=width)
+                with_seed = np.bincount(np.unique((place * width + flat)[hit[place]]) % width, minlength=width)
                 names = list(tokens.index)
-                for i in np.flatnonzero(met).tolist():
-                    v = total.setdefault(names[i], [0, 0])
-                    v[0] += int(with_seed[i])
-                    v[1] += int(every[i])
-        total[""] = [marked, passage_count]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *(pa.array([v[k] for v in total.values()], pa.int64()) for k in (0, 1))], names=["word", "near", "n"])
-
-    words = _texts(docs, text_col).mapInArrow(count, "word string, near long, n long").groupBy("word").agg(F.sum("near").alias("near"), F.sum("n").alias("n"))
-    words = materialise(words, "met")
-    total = words.where("word = ''").first()
+                for i in np.flatnonzero(with_seed).tolist():
+                    total[names[i]] = total.get(names[i], 0) + int(with_seed[i])
+        yield pa.RecordBatch.from_arrays([pa.array([*total, ""], pa.string()), pa.array([*total.values(), marked], pa.int64()), pa.array([0] * len(total) + [passage_count], pa.int64())], names=["word", "near", "n"])
+
+    met = _texts(docs, text_col).mapInArrow(shared, "word string, near long, n long").groupBy("word").agg(F.sum("near").alias("near"), F.sum("n").alias("n"))
+    met = materialise(met, "met")
+    total = met.where("word = ''").first()
     if total is None or not total["near"]:
         return []
     least = max(LEAST_COUNT, LEAST_SHARE * total["near"])
-    found = words.where((F.col("word") != "") & (F.col("near") >= least) & (F.col("near") * float(total["n"]) >= SHIFT * float(total["near"]) * F.col("n")))
-    return sorted(r["word"] for r in found.select("word").collect())
+    near = {r["word"]: r["near"] for r in met.where((F.col("word") != "") & (F.col("near") >= least)).select("word", "near").collect()}
+    words = sorted(near)
+    index = docs.sparkSession.sparkContext.broadcast({w: i for i, w in enumerate(words)})
+    width = max(1, len(words))
+
+    def everywhere(batches):
+        release()
+        tokens, n = Tokens(index.value), np.zeros(width, np.int64)
+        for batch in batches:
+            texts = batch.column(0).to_pylist()
+            for a, b in slices(texts, 2 << 20):
+                tokens.reset()
+                flat, sizes = tokens.of(texts[a:b])
+                known = flat >= 0
+                n += np.bincount(np.unique(passages(sizes)[known] * width + flat[known]) % width, minlength=width)
+        found = np.flatnonzero(n)
+        yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(n[found])], names=["word", "n"])
+
+    counts = _texts(docs, text_col).mapInArrow(everywhere, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).collect()
+    return sorted(w for w, n in ((words[r["word"]], r["n"]) for r in counts) if near[w] * float(total["n"]) >= SHIFT * float(total["near"]) * n)
 
 
 def word_graph(docs: DataFrame, text_col: str, words: list[str]) -> DataFrame:

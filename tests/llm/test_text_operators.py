@@ -1,4 +1,6 @@
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -8,7 +10,7 @@ from tarnweave.llm import crf as C
 from tarnweave.llm.bpe import PairIndexBPE, bpe_decode, bpe_encode
 from tarnweave.llm.language_id import fit, identify, label_words
 from tarnweave.llm.pii import pii_spans
-from tarnweave.llm.toxicity import drop_toxic, fit_toxicity, score_toxicity
+from tarnweave.llm.toxicity import drop_toxic, fit_toxicity, induced_words, score_toxicity
 from tarnweave.llm.unigram import CountViterbi, load_pieces, token_counts
 from tarnweave.llm.vocabularies import public_vocabulary
 
@@ -194,3 +196,19 @@ def test_induced_words_reach_unlabelled_terms(spark):
     df, lab = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int")
     model = fit_toxicity(df, lab)
     assert {"badone", "badtwo"} <= model.seeds and "hidden" not in model.seeds and model.weights.get("hidden", 0) > 0.3
+
+
+def test_induced_words_are_counted_over_all_passages(spark):
+    # 40 partitions, seeds in two of them; "usual" is in a tenth of all passages, "odd" only beside seeds
+    texts = []
+    for k in range(800):
+        words = [f"w{'abcdefghij'[k % 10]}", *["usual"] * (k // 2 % 10 == 0)]
+        if k < 40 and k % 2 == 0:
+            words += ["seed", *["odd"] * (k % 4 == 0)]
+        texts.append(" ".join(words))
+    df = spark.sparkContext.parallelize([(t,) for t in texts], 40).toDF("text string")
+    have = [set(re.findall(r"[^\W\d_]+", t)) for t in texts]
+    near = Counter(w for h in have if "seed" in h for w in h)
+    n, marked = Counter(w for h in have for w in h), near["seed"]
+    want = sorted(w for w in near if near[w] >= 3 and near[w] * len(texts) >= 5 * marked * n[w])
+    assert want == ["odd", "seed"] and induced_words(df, "text", ["seed"]) == want
