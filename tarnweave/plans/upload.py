@@ -23,8 +23,9 @@ class Uploaded:
 
 
 def upload_ids(new: DataFrame) -> DataFrame:
-    """``upload_{ticker}_{8 hex}``; the hex is a digest of title and text, so that reruns agree."""
-    mark = F.substring(F.sha2(F.concat_ws("\0", F.coalesce("title", F.lit("")), F.coalesce("text", F.lit(""))), 256), 1, 8)
+    """``upload_{ticker}_{64 hex}``; the hex is the whole SHA-256 of title and text, so that reruns agree and others differ."""
+    title = F.coalesce("title", F.lit(""))
+    mark = F.sha2(F.concat_ws("\0", F.length(title).cast("string"), title, F.coalesce("text", F.lit(""))), 256)
     ticker = F.coalesce("ticker", F.lit(""))
     return new.withColumn("doc_id", F.concat(F.lit("upload_"), F.when(ticker != "", F.concat(ticker, F.lit("_"))).otherwise(""), mark))
 

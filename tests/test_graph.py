@@ -97,6 +97,15 @@ def test_upload_and_ingest(spark):
     assert rows(got.shadows, "shadow_id", "token_count")[0][0].startswith("TSLA_10K_2023__0__") and got.edges.where("type = 'NEXT_CHUNK'").count() == got.shadows.count() - 1
 
 
+def test_uploads_with_close_digests_stay_apart(spark):
+    # the SHA-256 of "T", NUL and these texts both begin with fbab0e4e; the last two differ only in where the title ends
+    texts = [("T", "text 19295"), ("T", "text 24869"), ("a\0b", "c"), ("a", "b\0c"), ("T", "text 19295")]
+    new = spark.createDataFrame([(a, b, None, "8-K", "2024", None) for a, b in texts], "title string, text string, ticker string, form_type string, period string, linked_to string")
+    known = spark.createDataFrame([("k", [1.0] * 64, 5)], "id string, vec array<float>, cluster_id long")
+    found = upload(new, known, spark.createDataFrame([("D1",)], "id string"))
+    assert len(set(rows(found.documents, "doc_id"))) == 4 and found.documents.count() == found.sections.count() == 4
+
+
 def test_incremental_steps(spark):
     nodes = spark.createDataFrame([(1, "a b", None), (2, "c", [1.0]), (3, None, None)], "id long, text string, embedding array<float>")
     got = {r["id"]: r["embedding"] for r in embed_missing(nodes, "text").collect()}
