@@ -4,8 +4,8 @@ Affix, n-gram and whole-word features score each word in each language, learned
 forward-backward gives every word's language, also in code-switched text. A document's language has the most expected
 words; its score is that share.
 
-The model is fitted on SAMPLE_ROWS labelled texts a language, of at most SAMPLE_CHARS characters, those whose text's
-hash is smallest; everything else covers all rows and whole texts.
+The model is fitted on SAMPLE_ROWS distinct labelled texts a language, those whose hash is smallest; texts of over
+SAMPLE_CHARS characters, of which it takes so many, come after all others. Everything else covers all rows and whole texts.
 
 Defined results: ``und`` with score 0 where a text is null or has no letter, or nothing could be learned; rows are
 neither merged nor dropped; only the id, text and label columns are read, and the label only to learn.
@@ -26,10 +26,13 @@ SAMPLE_ROWS, SAMPLE_CHARS = 150, 20_000
 
 
 def fit(docs: DataFrame, learns: Column, text_col: str = "text", lang_col: str = "lang", rows: int = SAMPLE_ROWS, chars: int = SAMPLE_CHARS) -> Crf | None:
-    known = docs.where(learns & F.col(lang_col).isNotNull() & F.length(text_col).between(1, chars)).select(F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    # a limit for each group: partial limits run before the shuffle
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("text"), "text"))
-    sample = known.withColumn("rank", rank).where(F.col("rank") <= rows).collect()
+    text, lang = F.col(text_col).cast("string"), F.col(lang_col).cast("string")
+    known = docs.where(learns & F.col(lang_col).isNotNull() & (F.length(text_col) > 0)).select(text.alias("text"), lang.alias("lang"))
+    known = known.select("lang", (F.length("text") > chars).alias("long"), F.xxhash64("text").alias("h"), F.substring("text", 1, chars).alias("text"))
+    # distinct texts are ranked by hashes alone; a limit for each group: partial limits run before the shuffle
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("long", "h"))
+    chosen = known.select("lang", "long", "h").distinct().withColumn("rank", rank).where(F.col("rank") <= rows).drop("rank")
+    sample = known.join(F.broadcast(chosen), ["lang", "long", "h"]).groupBy("lang", "long", "h").agg(F.min("text").alias("text")).collect()
     return train(sorted((r["text"], r["lang"]) for r in sample))
 
 

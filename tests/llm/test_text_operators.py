@@ -212,3 +212,13 @@ def test_induced_words_are_counted_over_all_passages(spark):
     n, marked = Counter(w for h in have for w in h), near["seed"]
     want = sorted(w for w in near if near[w] >= 3 and near[w] * len(texts) >= 5 * marked * n[w])
     assert want == ["odd", "seed"] and induced_words(df, "text", ["seed"]) == want
+
+
+def test_language_sample_takes_distinct_texts_and_long_ones(spark, monkeypatch):
+    rows = [(f"one text {k}", "en") for k in range(6) for _ in range(30)] + [("ein Satz " * 9, "de"), ("noch ein", "de"), ("sehr lang " * 9, "fr")]
+    seen = []
+    monkeypatch.setattr("tarnweave.llm.language_id.train", seen.extend)
+    fit(spark.createDataFrame(rows, "text string, lang string"), F.lit(True), rows=5, chars=20)
+    texts = [t for t, lang in seen if lang == "en"]
+    assert len(texts) == len(set(texts)) == 5
+    assert [x for x in seen if x[1] != "en"] == [(("ein Satz " * 9)[:20], "de"), ("noch ein", "de"), (("sehr lang " * 9)[:20], "fr")]
