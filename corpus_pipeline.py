@@ -46,7 +46,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("near_dedup", near), ("source_mix", mix), ("bpe", encode)]
 
-#: SQL can express neither the lexicon nor the sampling; tests hold the stages against brute force.
+#: SQL can express neither the lexicon nor the sampling; tests hold the stages against the operators they call, not brute force.
 ORACLE_SQL = None
 
 
