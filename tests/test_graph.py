@@ -47,7 +47,7 @@ def test_louvain(spark):
 def test_louvain_is_the_same_at_every_size(spark):
     i, j = np.triu_indices(40, 1)
     inside = i // 10 == j // 10
-    kept = np.random.default_rng(3).random(len(i)) < np.where(inside, 0.8, 0.02)
+    kept = np.random.default_rng(3).random(len(i)) < np.where(inside, 0.6, 0.12)
     pairs = [*zip(i[kept].tolist(), j[kept].tolist()), *((500 + k, 500 + (k + 1) % 9) for k in range(9))]  # and a ring
     edges = spark.createDataFrame(pairs, "id_a long, id_b long")
     nodes = spark.createDataFrame([(k,) for k in [*range(40), *range(500, 509)]], "id long")
