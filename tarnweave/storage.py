@@ -23,12 +23,15 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def _clean() -> None:
     for spark, path in _made:
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            _delete(spark, path)
         except Exception:  # the JVM may be gone at exit
             return
 
@@ -42,6 +45,14 @@ def scratch(spark: SparkSession, label: str) -> str:
     return path
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialise`` wrote and that nothing reads any more."""
+    for spark, path in _made[:]:
+        if path == getattr(df, "_scratch", None):
+            _delete(spark, path)
+            _made.remove((spark, path))
+
+
 def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: cuts lineage and survives lost executors.
 
@@ -51,4 +62,6 @@ def materialise(df: DataFrame, label: str, partition_by: list[str] | None = None
     path = scratch(spark, label)
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
     writer.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
