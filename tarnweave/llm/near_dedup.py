@@ -4,8 +4,10 @@ A document's set is its distinct shingles of ``SHINGLE`` words. MinHash samples
 a band's bucket are candidates. The same samples are folded into an odd sketch, a bitmap of parities whose XOR
 population count estimates high similarities well; only pairs that it doesn't rule out are compared on full sets.
 
-No bucket emits its pairs: each member is compared with the bucket's pivot, and a second round compares, within blocks
-and by sketches, only members of buckets that still hold several components. Equal sets are one node throughout.
+No bucket emits its pairs. Each member is a candidate of the pivots of its buckets and is compared with the nearest of
+them, by sketches. A second round finds, within blocks and by sketches, which members of buckets that still hold several
+components belong to one class of candidates; each class then compares its full sets in place and passes over what its
+links have joined already. What travels grows with the sets, not with the pairs. Equal sets are one node throughout.
 
 Defined results: null, empty and blank texts have an empty set and are linked with nothing; with fewer words than a
 shingle the whole sequence is the one shingle; rows that repeat an id count as one document, linked as any of its texts;
@@ -29,7 +31,7 @@ from tarnweave.llm.components import components
 from tarnweave.llm.screen import build_filters, screen
 from tarnweave.llm.skew import join_groups
 from tarnweave.llm.worker import held
-from tarnweave.storage import materialise
+from tarnweave.storage import discard, materialise
 
 SHINGLE = 5
 #: Bands and samples in each: a pair at similarity 0.7 shares no bucket with probability (1 - 0.7^5)^64, under 1e-5.
@@ -39,6 +41,8 @@ SAMPLES = BANDS * ROWS
 BITS, SLACK = 1024, 0.16
 #: Members of a block of a bucket in the second round, and of small buckets that are dealt with together.
 BLOCK, TOGETHER = 2048, 8192
+#: Bytes of sets that one task compares, and most places of sets that are broadcast (under 20 MB; more are shuffled).
+TASK_BYTES, SENT_ROWS = 16 << 20, 100_000
 #: Characters of a slice of texts, and words whose hashes a worker remembers.
 SLICE_CHARS, REMEMBERED = 2 << 20, 200_000
 
@@ -167,35 +171,122 @@ def _near_sizes(a: str, b: str, percent: int) -> Column:
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _blocked(pdf: pd.DataFrame, percent: int, flips: int) -> pd.DataFrame:
-    """Pairs of two blocks of a bucket, of different components, that sizes and sketches don't rule out.
+def _merge(label: np.ndarray, members: np.ndarray) -> None:
+    """Give all of ``members``' groups the least of their labels."""
+    groups = np.unique(label[members])
+    if len(groups) > 1:
+        label[np.isin(label, groups[1:])] = groups[0]
 
-    Small buckets come many to a call.
+
+def _cuts(*keys: np.ndarray) -> list[tuple[int, int]]:
+    """Ranges of rows with equal keys, which stand together."""
+    change = np.zeros(max(0, len(keys[0]) - 1), bool)
+    for k in keys:
+        change |= k[1:] != k[:-1]
+    at = [0, *(np.flatnonzero(change) + 1).tolist(), len(keys[0])]
+    return list(zip(at, at[1:]))
+
+
+def _words(col: pd.Series) -> np.ndarray:
+    return np.stack(col.to_numpy()).astype(np.int64).view(_U)  # NumPy counts the bits of absolute values
+
+
+def _sides(own: np.ndarray, a: int, b: int, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    at = np.arange(a, b)
+    return (at[own[a:b] == i], at[own[a:b] == j]) if i != j else (at, at)
+
+
+def _grouped(pdf: pd.DataFrame, percent: int, flips: int) -> pd.DataFrame:
+    """Which members of two blocks of a bucket belong to one class of candidates: links (a, b) that span the classes.
+
+    A candidate pair is of different components and neither sizes nor sketches rule it out. Small buckets come many to a call.
     """
     i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
     pdf = pdf.sort_values(["bucket", "node"], kind="stable")
     bucket, node, comp, own, n = (pdf[c].to_numpy(np.int64) for c in ("bucket", "node", "comp", "own", "n"))
-    sketch = np.stack(pdf["sketch"].to_numpy()).astype(np.int64).view(_U)  # NumPy counts the bits of absolute values
-    cuts = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
-    out = []
-    for a, b in zip(cuts, cuts[1:]):
-        at = np.arange(a, b)
-        left, right = (at[own[a:b] == i], at[own[a:b] == j]) if i != j else (at, at)
+    sketch = _words(pdf["sketch"])
+    root = np.arange(len(node))
+    for a, b in _cuts(bucket):
+        left, right = _sides(own, a, b, i, j)
+        part = root[a:b]
         for x in left.tolist():
-            ok = right[(comp[right] != comp[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
-            if i == j:
-                ok = ok[node[ok] > node[x]]
+            ok = right[(comp[right] != comp[x]) & (root[right] != root[x]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
             if len(ok):
                 ok = ok[np.bitwise_count(sketch[ok] ^ sketch[x]).sum(axis=1, dtype=np.int64) <= flips]
-                out.append(np.stack([np.minimum(node[ok], node[x]), np.maximum(node[ok], node[x])], axis=1))
-    pairs = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+                if len(ok):
+                    _merge(part, np.append(ok, x) - a)
+    moved = root != np.arange(len(node))
+    return pd.DataFrame({"a": node[moved], "b": node[root[moved]]}).drop_duplicates()
 
 
-def _confirm(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
-    """The pairs (a, b of nodes) whose full sets meet the threshold. Texts aren't shuffled: a filter picks the rows."""
-    ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = materialise(ends.join(nodes.select("node", "rep"), "node").select("node", F.xxhash64("rep").alias("key")), "wanted")
+def _set(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, _U)
+
+
+def _shared(x: np.ndarray, others: list[np.ndarray]) -> np.ndarray:
+    """How many members each of ``others`` has in common with ``x``; all are sorted and none is empty."""
+    flat = np.concatenate(others)
+    at = np.searchsorted(x, flat)
+    at[at == len(x)] = 0
+    starts = np.cumsum([0, *map(len, others[:-1])])
+    return np.add.reduceat((x[at] == flat).astype(np.int64), starts)
+
+
+def _linked(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray:
+    """Which of ``others`` meet the threshold with ``x``, on full sets."""
+    shared = _shared(x, others)
+    return 100 * shared >= percent * (len(x) + np.array([len(y) for y in others]) - shared)
+
+
+def _with_pivot(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Links (pivot, member) among the sets that stand with their pivots."""
+    pdf = pdf.drop_duplicates(["pivot", "node"]).sort_values("pivot", kind="stable")
+    pivot, node = pdf["pivot"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64)
+    sets, out = pdf["members"].tolist(), []
+    for a, b in _cuts(pivot):
+        first = [k for k in range(a, b) if node[k] == pivot[k]]
+        rest = [k for k in range(a, b) if node[k] != pivot[k]]
+        for c in range(0, len(rest) if first else 0, 64):
+            part = rest[c : c + 64]
+            ok = _linked(_set(sets[first[0]]), [_set(sets[k]) for k in part], percent)
+            out += [(pivot[k], node[k]) for k, y in zip(part, ok.tolist()) if y]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _within(pdf: pd.DataFrame, percent: int, flips: int) -> pd.DataFrame:
+    """Links that join components within classes of candidates (or two blocks of one), on full sets.
+
+    Pairs that a link found before has put into one component already aren't compared.
+    """
+    i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+    pdf = pdf.drop_duplicates(["class", "node"]).sort_values(["class", "node"], kind="stable")
+    kind, node, comp, own, n = (pdf[c].to_numpy(np.int64) for c in ("class", "node", "comp", "own", "n"))
+    sketch, sets, out = _words(pdf["sketch"]), pdf["members"].tolist(), []
+    for a, b in _cuts(kind):
+        left, right = _sides(own, a, b, i, j)
+        part = comp[a:b].copy()
+        for x in left.tolist():
+            ok = right[(part[right - a] != part[x - a]) & (np.minimum(n[right], n[x]) * 100 >= np.maximum(n[right], n[x]) * percent)]
+            if i == j:
+                ok = ok[node[ok] > node[x]]
+            if not len(ok):
+                continue
+            apart = np.bitwise_count(sketch[ok] ^ sketch[x]).sum(axis=1, dtype=np.int64)
+            ok, apart = ok[apart <= flips], apart[apart <= flips]
+            ok = ok[np.argsort(apart, kind="stable")]
+            while len(ok):
+                now, ok = ok[:64], ok[64:]
+                hit = now[_linked(_set(sets[x]), [_set(sets[k]) for k in now.tolist()], percent)]
+                if len(hit):
+                    out += [(node[x], node[k]) for k in hit.tolist()]
+                    _merge(part, np.append(hit, x) - a)
+                    ok = ok[part[ok - a] != part[x - a]]
+    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+
+def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(node, members) of ``nodes`` (node, rep). Texts aren't shuffled: a filter picks the rows; repeated rows repeat."""
+    wanted = materialise(nodes.select("node", F.xxhash64("rep").alias("key")), "wanted")
     filters, n_seg = build_filters(wanted, "key", wanted.count())
     rows = screen(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.xxhash64(id_col).alias("key")), "key", filters, n_seg).where("maybe").select("id", "text")
 
@@ -203,24 +294,57 @@ def _confirm(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, t
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for a, b in slices(texts, SLICE_CHARS):
-                found = shingle_sets(texts[a:b])
-                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(s.tobytes()).digest() for s in found], pa.binary()), pa.array([s.view(np.int64) for s in found], pa.list_(pa.int64()))], names=["digest", "members"])
+                found = [s.tobytes() for s in shingle_sets(texts[a:b])]
+                yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(s).digest() for s in found], pa.binary()), pa.array(found, pa.binary())], names=["digest", "members"])
+
+    return rows.mapInArrow(sets, "digest binary, members binary").select(F.xxhash64("digest").alias("node"), "members")
+
+
+def _placed_with(sets: DataFrame, places: DataFrame) -> DataFrame:
+    """Sets at their places; the places are broadcast where they are few enough to be, by their number."""
+    return sets.join(F.broadcast(places) if places.count() <= SENT_ROWS else places, "node")
+
+
+def _confirm_pivots(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """The links among ``pairs`` (a: pivot, b: member, na, nb: sizes): each set travels once for each pivot it stands with."""
+    load = pairs.groupBy("a").agg((8 * (F.sum("nb") + F.first("na"))).alias("bytes"), F.count(F.lit(1)).alias("held"))
+    load = materialise(load.withColumn("salts", F.ceil(F.col("bytes") / TASK_BYTES).cast("int")), "loads")
+    tasks = max(1, -(-(load.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
+    # a pivot with very many words of members is split over salts
+    hot, rest = join_groups(pairs.select("a", "b"), load, ["a"], "held", pairs.count())
+    members = hot.unionByName(rest).withColumn("salt", F.pmod(F.xxhash64("b"), "salts").cast("int"))
+    members = members.select(F.col("b").alias("node"), F.col("a").alias("pivot"), "salt")
+    pivots = load.select(F.col("a").alias("node"), F.col("a").alias("pivot"), F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    places = materialise(members.unionByName(pivots).withColumn("task", F.pmod(F.xxhash64("pivot", "salt"), F.lit(tasks))).drop("salt"), "places")
+    wanted = places.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    both = _placed_with(_sets(docs, wanted, id_col, text_col), places)
+    return both.groupBy("task").applyInPandas(lambda pdf: _with_pivot(pdf, percent), "a long, b long")
+
+
+def _confirm_classes(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str, text_col: str, percent: int, flips: int) -> DataFrame:
+    """Links that join components within classes; ``members`` (node, class, comp, n, sketch), in blocks of bounded bytes."""
+    shape = members.groupBy("class").agg(F.count(F.lit(1)).alias("size"), (8 * F.sum("n")).alias("bytes"))
+    shape = materialise(shape.withColumn("k", F.ceil(F.greatest(F.col("size") / BLOCK, 2 * F.col("bytes") / TASK_BYTES)).cast("int")), "shapes")
+    tasks = max(1, -(-(shape.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
+    hot, rest = join_groups(members, shape, ["class"], "size", members.count())
+    placed = _tiled(hot.unionByName(rest), "class", F.lit(tasks))
+    places = materialise(placed.select("task", "class", "node", "comp", "n", "sketch", "own", "i", "j"), "places")
+    wanted = members.select("node").distinct().join(nodes.select("node", "rep"), "node")
+    both = _placed_with(_sets(docs, wanted, id_col, text_col), places)
+    return both.groupBy("task", "i", "j").applyInPandas(lambda pdf: _within(pdf, percent, flips), "a long, b long")
 
-    found = rows.mapInArrow(sets, "digest binary, members array<long>").select(F.xxhash64("digest").alias("node"), "members")
-    found = materialise(found.join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"]), "sets")
-    # a pivot of very many pairs is split over salts; fewer than (pairs / 50,000) pivots are
-    heavy = pairs.groupBy("a").count().where("count > 50000").select("a", F.ceil(F.col("count") / 50000).cast("int").alias("salts"))
-    salted = pairs.join(F.broadcast(heavy), "a", "left").withColumn("salt", F.pmod(F.xxhash64("b"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
-    left = found.withColumnRenamed("node", "a").join(F.broadcast(heavy), "a", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))).drop("salts")
-    both = salted.join(left.withColumnRenamed("members", "x"), ["a", "salt"]).join(found.select(F.col("node").alias("b"), F.col("members").alias("y")), "b")
 
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.where(shared * 100 >= (F.size("x") + F.size("y") - shared) * percent).select("a", "b")
+def _tiled(rows: DataFrame, group: str, tasks: Column) -> DataFrame:
+    """Deal the ``k`` blocks of each group to pairs of blocks (i, j); groups of one block share tasks."""
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    rows = rows.withColumn("task", F.when(F.col("k") == 1, F.pmod(F.xxhash64(group), tasks)).otherwise(F.col(group)))
+    return rows.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 70) -> DataFrame:
     """Every row's (id, n_shingles, component_id); links are 100 * intersection >= percent * union of full sets."""
-    rows = materialise(_signed(docs, id_col, text_col), "signed")
+    signed = materialise(_signed(docs, id_col, text_col), "signed")
+    rows = materialise(signed.select("id", "n", "digest"), "rows")
     n_rows = rows.count()
     classes = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"))
     classes = materialise(classes.withColumn("node", F.xxhash64("digest")), "classes")
@@ -230,14 +354,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # one row for each set; a filter of the repeated sets spares all other rows a shuffle
     repeated = classes.where("size > 1").select("digest", "node", "rep", "size")
     filters, n_seg = build_filters(repeated, "node", repeated.count())
-    whole = screen(rows.where("n > 0 and id is not null").withColumn("node", F.xxhash64("digest")), "node", filters, n_seg)
+    whole = screen(signed.where("n > 0 and id is not null").withColumn("node", F.xxhash64("digest")), "node", filters, n_seg)
     hot, rest = join_groups(whole.where("maybe"), repeated, ["digest", "node"], "size", n_rows)
     doubtful = hot.unionByName(rest).where("rep is null or id = rep")
     one = whole.where("not maybe").select("node", "n", "bands", "sketch").unionByName(doubtful.select("node", "n", "bands", "sketch"))
     one = materialise(one, "one")
+    discard(signed)
     # candidates: every member of a bucket with the bucket's pivot
     members = one.select("node", F.explode("bands").alias("bucket"))
-    signed = one.select("node", "n", "sketch")
     # only the counts of all buckets are shuffled: a filter of those that several hold picks their members
     full = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("bucket")
     full = materialise(full, "full")
@@ -249,33 +373,37 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     hot, rest = join_groups(members, many, ["bucket"], "size", n_rows)
     held = materialise(hot.unionByName(rest.where("pivot is not null")).select("bucket", "node", "pivot"), "held")
     stars = held.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b"))
-    pairs = stars.unionByName(buckets.where("size = 2").select(F.col("pivot").alias("a"), F.col("far").alias("b"))).distinct()
+    twos = buckets.where("size = 2")
+    pairs = stars.unionByName(twos.select(F.col("pivot").alias("a"), F.col("far").alias("b"))).distinct()
     ends = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sketches = materialise(signed.join(ends, "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    sketches = materialise(one.select("node", "n", "sketch").join(ends, "node", "left_semi").dropDuplicates(["node"]), "sketches")
+    discard(one)
     pairs = pairs.join(sketches.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     pairs = pairs.join(sketches.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
-    pairs = materialise(pairs.where(_near_sizes("na", "nb", percent) & (_flips("sa", "sb") <= flips)).select("a", "b"), "pairs")
-    links = materialise(_confirm(docs, pairs, nodes, id_col, text_col, percent), "confirmed")
+    pairs = pairs.withColumn("flips", _flips("sa", "sb")).where(_near_sizes("na", "nb", percent) & (F.col("flips") <= flips))
+    # first each member with its nearest pivot alone: what that links needs no other comparison
+    best = pairs.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), F.struct("flips", "a")).alias("p")).select("p.a", "b", "p.na", "p.nb")
+    best = materialise(best, "best")
+    links = materialise(_confirm_pivots(docs, best, nodes, id_col, text_col, percent), "confirmed")
 
-    # buckets that still hold several components: their members are compared within blocks, across components only
+    # buckets that still hold several components: classes of candidates across components, in blocks, then their sets
     comp = materialise(components(links), "first")
-    placed = held.select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
+    held = held.select("bucket", "node").unionByName(twos.select("bucket", F.explode(F.array("pivot", "far")).alias("node")))
+    placed = held.join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
     mixed = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo <> hi").select("bucket", "size")
     mixed = materialise(mixed, "mixed")
     if mixed.limit(1).count():
         hot, rest = join_groups(placed, mixed, ["bucket"], "size", n_rows)
         open_ = hot.unionByName(rest.where("size is not null")).join(sketches, "node")
-        blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-        open_ = open_.withColumn("k", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("k")).cast("int"))
-        open_ = open_.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-        # a bucket of one block shares its task with others; blocks of large buckets are tasks of their own
-        few = F.pmod(F.xxhash64("bucket"), F.lit(max(1, mixed.agg(F.sum("size")).first()[0] // TOGETHER)))
-        open_ = open_.withColumn("task", F.when(F.col("k") == 1, few).otherwise(F.col("bucket")))
-        open_ = open_.select("task", "bucket", "node", "comp", "n", "sketch", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-        more = open_.groupBy("task", "i", "j").applyInPandas(lambda pdf: _blocked(pdf, percent, flips), "a long, b long").distinct()
-        more = materialise(more.join(pairs, ["a", "b"], "left_anti"), "more")
-        if more.limit(1).count():
-            links = links.unionByName(materialise(_confirm(docs, more, nodes, id_col, text_col, percent), "late"))
+        few = F.lit(max(1, mixed.agg(F.sum("size")).first()[0] // TOGETHER))
+        open_ = _tiled(open_.withColumn("k", F.ceil(F.col("size") / BLOCK).cast("int")), "bucket", few)
+        open_ = open_.select("task", "bucket", "node", "comp", "n", "sketch", "own", "i", "j")
+        spans = materialise(open_.groupBy("task", "i", "j").applyInPandas(lambda pdf: _grouped(pdf, percent, flips), "a long, b long").distinct(), "spans")
+        if spans.limit(1).count():
+            classed = components(spans).withColumnRenamed("component", "class").join(comp, "node", "left")
+            classed = classed.select("node", "class", F.coalesce("component", "node").alias("comp")).join(sketches, "node")
+            late = _confirm_classes(docs, materialise(classed, "classed"), nodes, id_col, text_col, percent, flips)
+            links = links.unionByName(materialise(late, "late"))
 
     # links between nodes become links between ids, whose components carry the smallest id
     named = links.join(nodes.select(F.col("node").alias("a"), F.col("rep").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("rep").alias("y")), "b")

@@ -120,7 +120,8 @@ def brute_near(pairs, percent=70):
     return [(pairs[k][0], len(sets[k]), min(least[find(k)])) for k in sets]
 
 
-def test_near_dedup_matches_brute_force(spark, monkeypatch):
+@pytest.mark.parametrize("small", [False, True])
+def test_near_dedup_matches_brute_force(spark, monkeypatch, small):
     rng = np.random.default_rng(5)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
     pairs, i = [], 100
@@ -135,8 +136,21 @@ def test_near_dedup_matches_brute_force(spark, monkeypatch):
     pairs += [(1, None), (2, ""), (3, " \n"), (4, "One two"), (5, "one  TWO"), (6, "one"), (7, "É x y z w"), (8, "é x y z w"), (9, LONG), (10, LONG + " tail")]
     order = rng.permutation(len(pairs))
     pairs = [pairs[k] for k in order]
-    monkeypatch.setattr(N, "BLOCK", 3)  # second rounds in several blocks
-    monkeypatch.setattr(N, "TOGETHER", 4)
+    # families below the threshold but within the sketches' slack, beside links: what only the second round finds
+    for _ in range(4):
+        base = [word() for _ in range(60)]
+        for k in range(14):
+            now = list(base)
+            for at in range(k % 7, 60, 11 - k % 3 * 3):
+                now[at] = word()
+            pairs.append((i, " ".join(now)))
+            i += 1
+    if small:
+        monkeypatch.setattr(N, "BLOCK", 3)  # second rounds in several blocks, pivots in several tasks
+        monkeypatch.setattr(N, "TOGETHER", 4)
+        monkeypatch.setattr(N, "TASK_BYTES", 2000)
+        monkeypatch.setattr(N, "SENT_ROWS", -1)
+    pairs = [pairs[k] for k in rng.permutation(len(pairs))]
     got = sorted((r.id, r.n_shingles, r.component_id) for r in near_dedup(table(spark, pairs)).collect())
     assert got == sorted(brute_near(pairs))
 
