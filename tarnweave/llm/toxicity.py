@@ -7,8 +7,9 @@ ln(SHIFT), counted over all passages of PASSAGE words of the corpus. Random walk
 the other seeds give each word a polarity; a document's features are the polarity it gathers, in all and by length, and a
 logistic fit on the sample's documents turns them into a score.
 
-Counts cover the whole corpus; thresholds are relative to it. The word list that is broadcast holds fewer than
-PASSAGE / LEAST_SHARE words whatever the corpus: each must occur in that share of all passages with a toxic seed.
+Counts cover the whole corpus, so that scores don't depend on how the table is cut into files; thresholds are relative
+to it. The word list that is broadcast holds fewer than PASSAGE / LEAST_SHARE words whatever the corpus: each must occur
+in that share of all passages with a toxic seed. Workers hand partial counts on once they hold HELD_COUNTS of them.
 
 Defined results: null, empty and wordless texts get the score of no evidence; rows are neither merged nor dropped;
 unlabelled, null-labelled and held-out rows are never learned from; an id with several labels is left out; without both
@@ -40,6 +41,8 @@ LEAST_COUNT, LEAST_SHARE = 3, 2e-4
 RESTART, STEPS = 0.3, 6
 THRESHOLD = 0.3
 REMEMBERED = 100_000
+#: Entries of a worker's partial counts before it hands them on, and words whose pairs are counted at a time.
+HELD_COUNTS, RUN_WORDS = 250_000, 8192
 
 _letters = re.compile(r"[^\W\d_]+")
 
@@ -146,6 +149,10 @@ def induced_words(docs: DataFrame, text_col: str, toxic: list[str]) -> list[str]
         total: dict[str, int] = {}
         marked = passage_count = 0
         tokens = Tokens()
+
+        def handed():
+            return pa.RecordBatch.from_arrays([pa.array([*total, ""], pa.string()), pa.array([*total.values(), marked], pa.int64()), pa.array([0] * len(total) + [passage_count], pa.int64())], names=["word", "near", "n"])
+
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts, 2 << 20):
@@ -164,10 +171,14 @@ def induced_words(docs: DataFrame, text_col: str, toxic: list[str]) -> list[str]
                 marked += int(hit.sum())
                 width = len(tokens.index)
                 with_seed = np.bincount(np.unique((place * width + flat)[hit[place]]) % width, minlength=width)
-                names = list(tokens.index)
-                for i in np.flatnonzero(with_seed).tolist():
-                    total[names[i]] = total.get(names[i], 0) + int(with_seed[i])
-        yield pa.RecordBatch.from_arrays([pa.array([*total, ""], pa.string()), pa.array([*total.values(), marked], pa.int64()), pa.array([0] * len(total) + [passage_count], pa.int64())], names=["word", "near", "n"])
+                found = set(np.flatnonzero(with_seed).tolist())
+                for i, w in enumerate(tokens.index):
+                    if i in found:
+                        total[w] = total.get(w, 0) + int(with_seed[i])
+                if len(total) > HELD_COUNTS:
+                    yield handed()
+                    total, marked, passage_count = {}, 0, 0
+        yield handed()
 
     met = _texts(docs, text_col).mapInArrow(shared, "word string, near long, n long").groupBy("word").agg(F.sum("near").alias("near"), F.sum("n").alias("n"))
     met = materialise(met, "met")
@@ -204,7 +215,12 @@ def word_graph(docs: DataFrame, text_col: str, words: list[str]) -> DataFrame:
 
     def count(batches):
         release()
-        tokens, kept, n = Tokens(sent.value), [], 0
+        tokens, kept, held, n = Tokens(sent.value), [], 0, 0
+
+        def handed():
+            k, c = _merged(kept) if kept else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(c, n))], names=["pair", "n"])
+
         for batch in batches:
             texts = batch.column(0).to_pylist()
             for a, b in slices(texts, 2 << 20):
@@ -215,19 +231,14 @@ def word_graph(docs: DataFrame, text_col: str, words: list[str]) -> DataFrame:
                 place = passages(sizes)
                 n += int(place[-1]) + 1
                 own = np.unique((place * width + flat)[flat >= 0])
-                place, word = own // width, own % width
-                keys = [word * width + word]
-                for d in range(1, PASSAGE):
-                    same = place[:-d] == place[d:]
-                    if not same.any():
-                        break
-                    keys.append(word[:-d][same] * width + word[d:][same])
-                k, c = np.unique(np.concatenate(keys), return_counts=True)
-                kept.append((k, c))
-                if sum(len(x) for x, _ in kept) > 4_000_000:
-                    kept = [_merged(kept)]
-        k, c = _merged(kept) if kept else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(c, n))], names=["pair", "n"])
+                for k, c in _pairs_in_runs(own // width, own % width, width):
+                    kept.append((k, c))
+                    held += len(k)
+                    if held > HELD_COUNTS:
+                        # the aggregate combines and spills what is handed on: a worker never holds more than this
+                        yield handed()
+                        kept, held, n = [], 0, 0
+        yield handed()
 
     pairs = materialise(_texts(docs, text_col).mapInArrow(count, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")), "pairs")
     total = float(pairs.where("pair = -1").first()["n"])
@@ -238,6 +249,24 @@ def word_graph(docs: DataFrame, text_col: str, words: list[str]) -> DataFrame:
     return materialise(joint.select("a", "b", "weight").unionByName(joint.select(F.col("b").alias("a"), F.col("a").alias("b"), "weight")), "graph")
 
 
+def _pairs_in_runs(place: np.ndarray, word: np.ndarray, width: int):
+    """Counts of the pairs that share a passage, and of the words alone (a pair with itself), for runs of whole passages."""
+    start = 0
+    while start < len(place):
+        end = min(len(place), start + RUN_WORDS)
+        if end < len(place):
+            end = int(np.searchsorted(place, place[end - 1], side="right"))  # a passage has at most PASSAGE words
+        p, w = place[start:end], word[start:end]
+        keys = [w * width + w]
+        for d in range(1, PASSAGE):
+            same = p[:-d] == p[d:]
+            if not same.any():
+                break
+            keys.append(w[:-d][same] * width + w[d:][same])
+        yield np.unique(np.concatenate(keys), return_counts=True)
+        start = end
+
+
 def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
     k, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
     return k, np.bincount(at, weights=np.concatenate([p[1] for p in parts])).astype(np.int64)
