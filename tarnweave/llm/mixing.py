@@ -1,16 +1,15 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-Every document of a source is expected ``target / source size`` times. The whole part are certain copies; for the rest
-the source's documents are ranked by random odds over inclusion odds (Rosen, 1997), and the rank order fills the words
-that are left, so that the sample's size in words is fixed. A document that would pass the budget is skipped for later,
-smaller ones in FILLS more passes.
+A document's expected copies are in proportion to its measure, at most ``cap``, and such that its source's expected
+words meet the target. The whole part are certain copies; for the rest the source's documents are ranked by random odds
+over inclusion odds (Rosen, 1997), and the rank order fills the words that are left, so that the sample's size in words
+is fixed. A document that would pass the budget is skipped for later, smaller ones, until none that is open fits.
 
 Words are runs of ``[^\\x20\\x09-\\x0D]``. Targets: sources by code point, null last, weigh ``weights`` in turn and
 share all words; a target stops at ``cap`` times its source's size and the excess is shared by weight.
 
-Defined results: null and empty texts have size 0; a null source is a source of its own; randomness is a hash of the id
-and the seed, so reruns agree and rows that repeat an id and a size are interchangeable; an empty table gives an empty
-result; a document is taken at most ``cap`` times.
+Defined results: null and empty texts have size 0; a null source is a source of its own; randomness is a hash of the id,
+the key and the seed, so reruns agree; rows that repeat an id and a key are interchangeable; an empty table gives an empty result; a document is taken at most ``cap`` times.
 """
 
 from __future__ import annotations
@@ -23,9 +22,6 @@ from tarnweave.llm.skew import join_groups
 from tarnweave.llm.text import SPACE
 from tarnweave.storage import materialise
 
-#: Documents of a slice of a source's rank order, which one task sums up.
-SLICE = 20_000
-FILLS = 2
 
 
 def n_words(text: Column) -> Column:
@@ -76,7 +72,7 @@ def _shares(rows: DataFrame, per: DataFrame, n_rows: int, cap: float, measure: b
         return joined.withColumn("e", F.col("share"))
     # e = min(cap, c * m), and c such that a source's expected words meet its target
     joined = materialise(joined, "joined")
-    level = joined.groupBy("s").agg((F.first("target") / F.sum(F.col("m") * F.col("size"))).alias("c"), F.count(F.lit(1)).alias("k"))
+    level = joined.groupBy("s").agg(F.try_divide(F.first("target"), F.sum(F.col("m") * F.col("size"))).alias("c"), F.count(F.lit(1)).alias("k"))
     for _ in range(20):
         level = materialise(level, "level")
         hot, rest = join_groups(joined, level, ["s"], "k", n_rows)
@@ -91,62 +87,82 @@ def _shares(rows: DataFrame, per: DataFrame, n_rows: int, cap: float, measure: b
     return both.withColumn("e", F.least(F.lit(float(cap)), F.coalesce(F.col("c") * F.col("m"), F.lit(0.0)))).drop("c", "k")
 
 
-def _fill(open_: DataFrame) -> DataFrame:
+def _fill(open_: DataFrame, label: str) -> DataFrame:
     """Take rows of each source in rank order while their words fit its ``need``; adds boolean ``take``.
 
-    Prefix sums go through slices of the order: no source's rows meet in one task.
+    Prefix sums go through ranges of the order: neither a source's rows nor equal ones meet in one task.
     """
-    sums = open_.groupBy("s", "slice").agg(F.sum("size").alias("words"))
-    before = sums.select("s", "slice", (F.sum("words").over(Window.partitionBy("s").orderBy("slice")) - F.col("words")).alias("before"))
-    inner = F.sum("size").over(Window.partitionBy("s", "slice").orderBy("v", "id", "size").rowsBetween(Window.unboundedPreceding, 0))
-    return open_.join(before, ["s", "slice"]).withColumn("take", F.col("before") + inner <= F.col("need")).drop("before")
+    order = ["s", "v", "id", "key", "tie"]
+    parts = materialise(open_.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), label)
+    sums = parts.groupBy("s", "_part").agg(F.sum("size").alias("words"))
+    before = sums.select("s", "_part", (F.sum("words").over(Window.partitionBy("s").orderBy("_part")) - F.col("words")).alias("before"))
+    inner = F.sum("size").over(Window.partitionBy("s", "_part").orderBy(*order[1:]).rowsBetween(Window.unboundedPreceding, 0))
+    return parts.join(before, ["s", "_part"]).withColumn("take", F.col("before") + inner <= F.col("need")).drop("before", "_part")
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 20, measure: Column | None = None) -> DataFrame:
-    """Every row's (id, source, size, source_size, target, copies, text_key).
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (1, 2, 3), cap: int = 3, seed: int = 20, measure: Column | str | None = "length", key: Column | None = None) -> DataFrame:
+    """Every row's (id, source, size, source_size, target, copies, key).
 
-    ``measure``: relative inclusion of documents within their source, over ``docs``; by default all alike.
+    ``measure``: relative inclusion of documents within their source; a column of ``docs``, "length" for log2(2 + words),
+    by which documents of more words are likelier, or None for all alike. ``key`` tells rows of one id apart; by default
+    the text's hash.
     """
-    cols = [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_key"), _key(F.col(source_col)).alias("s")]
-    rows = docs.select(*cols, *([F.greatest(F.coalesce(measure.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("m")] if measure is not None else []))
+    key = F.xxhash64(text_col) if key is None else key
+    # the place is written once with the rows, so that a lost executor can't change it
+    tie = F.when(F.col(id_col).isNull(), F.monotonically_increasing_id()).otherwise(0)
+    cols = [F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"), tie.alias("tie"), _key(F.col(source_col)).alias("s")]
+    own = isinstance(measure, Column)
+    rows = docs.select(*cols, *([F.greatest(F.coalesce(measure.cast("double"), F.lit(0.0)), F.lit(0.0)).alias("m")] if own else []))
     rows = materialise(rows, "sized")
+    if measure is not None and not own:
+        rows = rows.withColumn("m", F.log2(F.col("size") + F.lit(2.0)))
     n_rows = rows.count()
     per = materialise(plan_targets(rows, weights, cap), "targets")
     rows = _shares(rows, per, n_rows, cap, measure is not None)
     rows = rows.withColumn("whole", F.floor("e")).withColumn("part", F.col("e") - F.col("whole"))
-    # random odds over inclusion odds, scaled so that the source's mean share gives evenly filled slices
-    u = (F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    mean = F.col("share") - F.floor("share")
+    # random odds over inclusion odds
+    u = (F.pmod(F.xxhash64("id", "key", F.lit(seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
     odds = lambda p: F.greatest(p, F.lit(1e-12)) / F.greatest(1 - p, F.lit(1e-12))
-    z = u / (1 - u) * odds(mean) / odds(F.col("part"))
-    rows = materialise(rows.withColumn("v", z / (1 + z)).withColumn("slice", F.floor(F.col("v") * F.ceil(F.col("n") / SLICE))), "ranks")
+    rows = rows.withColumn("v", u / (1 - u) / odds(F.col("part")))
+    rows = materialise(rows.select("id", "source", "size", "key", "tie", "s", "source_size", "target", "whole", "part", "v"), "ranks")
     whole = rows.groupBy("s").agg((F.first("target") - F.sum(F.col("whole") * F.col("size"))).alias("need"), F.count(F.lit(1)).alias("k"))
     hot, rest = join_groups(rows, materialise(whole, "needs"), ["s"], "k", n_rows)
     open_ = hot.unionByName(rest).drop("k").where("part > 0")
-    taken = []
-    for round_ in range(FILLS + 1):
-        found = materialise(_fill(open_), f"fill{round_}")
-        taken.append(found.where("take"))
-        if round_ < FILLS:
-            left = found.groupBy("s").agg((F.first("need") - F.sum(F.when(F.col("take"), F.col("size")).otherwise(0))).alias("left"), F.count(F.lit(1)).alias("k"))
-            hot, rest = join_groups(found.where("not take").drop("take"), materialise(left, "left"), ["s"], "k", n_rows)
-            both = hot.unionByName(rest).drop("k")
-            taken.append(both.where("size > left").withColumn("take", F.lit(False)).drop("left"))
-            open_ = both.where("size <= left").withColumn("need", F.col("left")).drop("left")
-    taken.append(found.where("not take"))
-    out = rows.where("part <= 0").withColumn("take", F.lit(False)).withColumn("need", F.lit(0.0))
-    for part in taken:
+    taken, round_ = [rows.where("part <= 0").withColumn("take", F.lit(False))], 0
+    # every pass settles a source's prefix and all that are longer than what is left: passes grow as its logarithm
+    while True:
+        found = materialise(_fill(open_, f"open{round_}"), f"fill{round_}")
+        taken.append(found.where("take").drop("need"))
+        left = found.groupBy("s").agg((F.first("need") - F.sum(F.when(F.col("take"), F.col("size")).otherwise(0))).alias("left"), F.count(F.lit(1)).alias("k"))
+        hot, rest = join_groups(found.where("not take"), materialise(left, "left"), ["s"], "k", found.count())
+        both = hot.unionByName(rest).drop("k", "need")
+        taken.append(both.where("size > left").drop("left"))
+        open_ = both.where("size <= left").drop("take").withColumnRenamed("left", "need")
+        round_ += 1
+        if not open_.limit(1).count():
+            break
+    out = taken[0]
+    for part in taken[1:]:
         out = out.unionByName(part)
-    return out.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.col("take").cast("long")).alias("copies"), "text_key")
+    return out.select("id", "source", "size", "source_size", "target", (F.col("whole") + F.col("take").cast("long")).alias("copies"), "key")
 
 
 def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """``docs`` as the mix takes them: each row as often as it has copies, all columns kept."""
-    decided = mix_sources(docs, id_col, text_col, source_col, **options).where("copies > 0")
-    # rows that share id, text and source are interchangeable: one of them stands for all their copies
-    same = decided.groupBy(F.col("id").alias("_id"), F.col("text_key").alias("_text"), _key(F.col("source")).alias("_s")).agg(F.sum("copies").alias("_copies"))
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
-    row = row.withColumns({"_id": F.col("_row").getField(id_col), "_text": F.xxhash64(F.col("_row").getField(text_col)), "_s": _key(F.col("_row").getField(source_col))})
-    row = row.alias("l").join(same.alias("r"), F.expr("l._id <=> r._id and l._text = r._text and l._s = r._s")).select("_row", "l._id", "l._text", "l._s", "_copies")
-    row = row.dropDuplicates(["_id", "_text", "_s"])
-    return row.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), "_copies"))).select("_row.*")
+    """``docs`` as the mix takes them: each row as often as it has copies, all columns kept.
+
+    Only rows that agree in every column are interchangeable.
+    """
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind]
+    decided = mix_sources(docs, id_col, text_col, source_col, key=F.xxhash64(*plain), **options)
+    same = decided.groupBy(F.col("id").alias("_id"), F.col("key").alias("_key")).agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_n")).where("_copies > 0")
+    same = materialise(same, "copies")
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(*plain).alias("_key"))
+    row = row.alias("l").join(same.alias("r"), F.expr("l._id <=> r._id and l._key = r._key")).select("_row", "l._id", "l._key", "_copies", "_n")
+    repeat = lambda rows, n: rows.withColumn("_k", F.explode(F.sequence(F.lit(1).cast("long"), n))).select("_row.*")
+    each = F.expr("_copies div _n")
+    out = repeat(row.where(each > 0), each)
+    # what equal rows can't share evenly goes to one of them
+    if same.where("_copies % _n > 0").limit(1).count():
+        odd = row.where("_copies % _n > 0").dropDuplicates(["_id", "_key"])
+        out = out.unionByName(repeat(odd, F.expr("_copies % _n")))
+    return out
