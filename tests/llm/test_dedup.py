@@ -3,6 +3,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -51,6 +52,8 @@ def test_exact_dedup_matches_brute_force(spark):
     kept = [r.id for r in got if r.kept]
     assert len(kept) == len(groups) and kept.count(3) == 1  # of a repeated row one stays
     assert exact_dedup(table(spark, [])).count() == 0
+    named = spark.createDataFrame([("b", "x y"), ("a", "x\ty"), (None, "x y"), ("c", "z")], "doc_id string, text string")
+    assert sorted((r.id or "", r.keep_id, r.group_size, r.kept) for r in exact_dedup(named).collect()) == [("", "a", 3, False), ("a", "a", 3, True), ("b", "a", 3, False), ("c", "c", 1, True)]
 
 
 def test_drop_copies_keeps_columns(spark):
@@ -200,3 +203,20 @@ def test_vector_dedup_matches_brute_force(spark, monkeypatch):
     got = {r.id: (r.n_links, r.component_id) for r in vector_dedup(df).collect()}
     assert got == want
     assert vector_dedup(df.limit(0)).count() == 0
+    # rows that repeat an id count their own links and share the component of any
+    twice = [(1, [1.0, 0.0, 0.0], 0), (2, [1.0, 0.0, 0.0], 0), (3, [1.0, 0.0, 0.0], 0), (1, [0.0, 1.0, 0.0], 0), (1, [0.0, 0.0, 1.0], 5), (4, [0.0, 1.0, 0.01], 0), (0, [0.0, 1.0, 0.02], 0)]
+    got = sorted((r.id, r.n_links, r.component_id) for r in vector_dedup(spark.createDataFrame(twice, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(0, 2, 0), (1, 0, 0), (1, 2, 0), (1, 2, 0), (2, 2, 0), (3, 2, 0), (4, 2, 0)]
+
+
+def test_cells_shrink_on_clustered_vectors():
+    """Away from the borders a vector visits its own cell alone."""
+    from tarnweave.llm.vector_dedup import _assign
+
+    rng = np.random.default_rng(6)
+    centres = np.linalg.qr(rng.normal(size=(16, 16)))[0]
+    x = centres[np.arange(4000) % 16] + rng.normal(size=(4000, 16)) * 0.02
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    rows = pd.DataFrame({"node": np.arange(4000), "vec": [v.tobytes() for v in x]})
+    out = _assign(np.sqrt(2 - 2 * 0.93))(rows, rows.iloc[:16])
+    assert sum(map(len, out["cells"])) < 1.5 * len(x)
