@@ -23,12 +23,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tarnweave.llm.worker import held
 
 #: Text of one slice whose words are indexed together, and words that a worker remembers.
-SLICE_CHARS = 4 << 20
+SLICE_CHARS = 2 << 20
 REMEMBERED = 100_000
 
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -233,6 +234,18 @@ def coder(path: str) -> PairIndexBPE:
     return held(f"bpe {path}", lambda: PairIndexBPE(path))
 
 
+def sliced(column: pa.Array, size: int = SLICE_CHARS) -> Iterator[tuple[int, int, list[str | None]]]:
+    """Ranges of rows of about ``size`` bytes with their texts, of which only one range's are Python strings at a time."""
+    start, held, ends = 0, 0, pc.fill_null(pc.binary_length(column), 0).to_pylist()
+    for k, n in enumerate(ends):
+        if held and held + n > size:
+            yield start, k, column.slice(start, k - start).to_pylist()
+            start, held = k, 0
+        held += n
+    if start < len(column):
+        yield start, len(column), column.slice(start).to_pylist()
+
+
 def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``chars`` characters; a longer text is a range of its own."""
     start, held = 0, 0
@@ -255,9 +268,8 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
     def run(batches):
         bpe = coder(path)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts):
-                ids, text = bpe.encode(texts[a:b])
+            for a, b, texts in sliced(batch.column(1)):
+                ids, text = bpe.encode(texts)
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), n, pa.array(ids, pa.binary()), pa.array(text, pa.string())], names=["id", "n_tokens", "ids", "decoded"])
 

@@ -26,11 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tarnweave.llm.bpe import slices
+from tarnweave.llm.bpe import sliced
 from tarnweave.llm.components import components
 from tarnweave.llm.screen import build_filters, screen
 from tarnweave.llm.skew import join_groups
-from tarnweave.llm.worker import held
+from tarnweave.llm.worker import held, release
 from tarnweave.storage import discard, materialise
 
 SHINGLE = 5
@@ -41,10 +41,11 @@ SAMPLES = BANDS * ROWS
 BITS, SLACK = 1024, 0.16
 #: Members of a block of a bucket in the second round, and of small buckets that are dealt with together.
 BLOCK, TOGETHER = 2048, 8192
-#: Bytes of sets that one task compares, and most places of sets that are broadcast (under 20 MB; more are shuffled).
-TASK_BYTES, SENT_ROWS = 16 << 20, 100_000
-#: Characters of a slice of texts, and words whose hashes a worker remembers.
-SLICE_CHARS, REMEMBERED = 2 << 20, 200_000
+#: Bytes of sets that one task compares with pivots, bytes of a class that is compared in one, and most places of sets
+#: that are broadcast (under 20 MB; more are shuffled).
+TASK_BYTES, CLASS_BYTES, SENT_ROWS = 4 << 20, 12 << 20, 100_000
+#: Bytes of a slice of texts, and words whose hashes a worker remembers.
+SLICE_CHARS, REMEMBERED = 1 << 20, 100_000
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -142,9 +143,8 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, SLICE_CHARS):
-                sets = shingle_sets(texts[a:b])
+            for a, b, texts in sliced(batch.column(1), SLICE_CHARS):
+                sets = shingle_sets(texts)
                 samples = np.stack([minhash(s) for s in sets])
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -201,6 +201,7 @@ def _grouped(pdf: pd.DataFrame, percent: int, flips: int) -> pd.DataFrame:
 
     A candidate pair is of different components and neither sizes nor sketches rule it out. Small buckets come many to a call.
     """
+    release()
     i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
     pdf = pdf.sort_values(["bucket", "node"], kind="stable")
     bucket, node, comp, own, n = (pdf[c].to_numpy(np.int64) for c in ("bucket", "node", "comp", "own", "n"))
@@ -240,6 +241,7 @@ def _linked(x: np.ndarray, others: list[np.ndarray], percent: int) -> np.ndarray
 
 def _with_pivot(pdf: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Links (pivot, member) among the sets that stand with their pivots."""
+    release()
     pdf = pdf.drop_duplicates(["pivot", "node"]).sort_values("pivot", kind="stable")
     pivot, node = pdf["pivot"].to_numpy(np.int64), pdf["node"].to_numpy(np.int64)
     sets, out = pdf["members"].tolist(), []
@@ -258,6 +260,7 @@ def _within(pdf: pd.DataFrame, percent: int, flips: int) -> pd.DataFrame:
 
     Pairs that a link found before has put into one component already aren't compared.
     """
+    release()
     i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
     pdf = pdf.drop_duplicates(["class", "node"]).sort_values(["class", "node"], kind="stable")
     kind, node, comp, own, n = (pdf[c].to_numpy(np.int64) for c in ("class", "node", "comp", "own", "n"))
@@ -292,9 +295,8 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
 
     def sets(batches):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, SLICE_CHARS):
-                found = [s.tobytes() for s in shingle_sets(texts[a:b])]
+            for _, _, texts in sliced(batch.column(1), SLICE_CHARS):
+                found = [s.tobytes() for s in shingle_sets(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(s).digest() for s in found], pa.binary()), pa.array(found, pa.binary())], names=["digest", "members"])
 
     return rows.mapInArrow(sets, "digest binary, members binary").select(F.xxhash64("digest").alias("node"), "members")
@@ -324,7 +326,7 @@ def _confirm_pivots(docs: DataFrame, pairs: DataFrame, nodes: DataFrame, id_col:
 def _confirm_classes(docs: DataFrame, members: DataFrame, nodes: DataFrame, id_col: str, text_col: str, percent: int, flips: int) -> DataFrame:
     """Links that join components within classes; ``members`` (node, class, comp, n, sketch), in blocks of bounded bytes."""
     shape = members.groupBy("class").agg(F.count(F.lit(1)).alias("size"), (8 * F.sum("n")).alias("bytes"))
-    shape = materialise(shape.withColumn("k", F.ceil(F.greatest(F.col("size") / BLOCK, 2 * F.col("bytes") / TASK_BYTES)).cast("int")), "shapes")
+    shape = materialise(shape.withColumn("k", F.ceil(F.greatest(F.col("size") / BLOCK, 2 * F.col("bytes") / CLASS_BYTES)).cast("int")), "shapes")
     tasks = max(1, -(-(shape.agg(F.sum("bytes")).first()[0] or 0) // TASK_BYTES))
     hot, rest = join_groups(members, shape, ["class"], "size", members.count())
     placed = _tiled(hot.unionByName(rest), "class", F.lit(tasks))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tarnweave.llm.bpe import slices
+from tarnweave.llm.bpe import sliced
 from tarnweave.llm.worker import release
 from tarnweave.storage import materialise
 
@@ -154,10 +154,9 @@ def induced_words(docs: DataFrame, text_col: str, toxic: list[str]) -> list[str]
             return pa.RecordBatch.from_arrays([pa.array([*total, ""], pa.string()), pa.array([*total.values(), marked], pa.int64()), pa.array([0] * len(total) + [passage_count], pa.int64())], names=["word", "near", "n"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 2 << 20):
+            for _, _, texts in sliced(batch.column(0), 2 << 20):
                 tokens.reset()
-                flat, sizes = tokens.of(texts[a:b])
+                flat, sizes = tokens.of(texts)
                 if not len(flat):
                     continue
                 place = passages(sizes)
@@ -195,10 +194,9 @@ def induced_words(docs: DataFrame, text_col: str, toxic: list[str]) -> list[str]
         release()
         tokens, n = Tokens(index.value), np.zeros(width, np.int64)
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 2 << 20):
+            for _, _, texts in sliced(batch.column(0), 2 << 20):
                 tokens.reset()
-                flat, sizes = tokens.of(texts[a:b])
+                flat, sizes = tokens.of(texts)
                 known = flat >= 0
                 n += np.bincount(np.unique(passages(sizes)[known] * width + flat[known]) % width, minlength=width)
         found = np.flatnonzero(n)
@@ -222,10 +220,9 @@ def word_graph(docs: DataFrame, text_col: str, words: list[str]) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(np.append(k, -1)), pa.array(np.append(c, n))], names=["pair", "n"])
 
         for batch in batches:
-            texts = batch.column(0).to_pylist()
-            for a, b in slices(texts, 2 << 20):
+            for _, _, texts in sliced(batch.column(0), 2 << 20):
                 tokens.reset()
-                flat, sizes = tokens.of(texts[a:b])
+                flat, sizes = tokens.of(texts)
                 if not len(flat):
                     continue
                 place = passages(sizes)
@@ -371,10 +368,9 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id"
         release()
         tokens = Tokens(sent.value[0])
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in slices(texts, 2 << 20):
+            for a, b, texts in sliced(batch.column(1), 2 << 20):
                 tokens.reset()
-                score = _score(features(texts[a:b], tokens, sent.value[1]), fit)
+                score = _score(features(texts, tokens, sent.value[1]), fit)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(score)], names=["id", "score"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, score double")
@@ -390,10 +386,9 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, text_col: str = "text", th
         release()
         tokens = Tokens(sent.value[0])
         for batch in batches:
-            texts = batch.column(at).cast(pa.string()).to_pylist()
-            for a, b in slices(texts, 2 << 20):
+            for a, b, texts in sliced(batch.column(at).cast(pa.string()), 2 << 20):
                 tokens.reset()
-                score = _score(features(texts[a:b], tokens, sent.value[1]), fit)
+                score = _score(features(texts, tokens, sent.value[1]), fit)
                 yield batch.slice(a, b - a).filter(pa.array(score < threshold))
 
     return docs.mapInArrow(run, docs.schema)

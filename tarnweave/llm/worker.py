@@ -10,19 +10,24 @@ from typing import Any
 _slot: dict[str, Any] = {}
 
 
+def _trim() -> None:
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library returns memory by itself
+        pass
+
+
 def held(key: str, make: Callable[[], Any]) -> Any:
     """The object of ``key``, made on first use. Workers outlive operators: another key's object is let go first."""
     if key not in _slot:
-        if _slot:
-            _slot.clear()
-            gc.collect()
-            try:
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
-            except OSError:  # another C library returns memory by itself
-                pass
+        _slot.clear()
         _slot[key] = make()
+        _trim()
     return _slot[key]
 
 
 def release() -> None:
-    held("", dict)
+    """Let go of any operator's tables and give what is free back to the system."""
+    _slot.clear()
+    _trim()
