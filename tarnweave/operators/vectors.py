@@ -102,9 +102,11 @@ def vector_top_k(questions: DataFrame, chunks: DataFrame, k: int, prefilter: boo
     return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
 
-def nearest_cluster(new: DataFrame, old: DataFrame) -> DataFrame:
+def nearest_cluster(new: DataFrame, old: DataFrame, apart: bool = False) -> DataFrame:
     """(id, cluster_id, score) of the nearest old vector for each new (id, vec); first id on ties, null without any.
 
+    With ``apart`` a vector isn't its own neighbour where ids are shared.
+
     Old vectors, (id, vec, cluster_id), are read once; the new ones are one upload's and bounded by the caller.
     """
     batch = new.where("vec is not null").select("id", "vec").collect()
@@ -116,8 +118,11 @@ def nearest_cluster(new: DataFrame, old: DataFrame) -> DataFrame:
             pdf = pdf[pdf["vec"].notna()].sort_values("id")
             if len(pdf) and qids:
                 s = np.round(qm @ _unit(_matrix(pdf["vec"])).T, 6)
+                if apart:
+                    s[np.array(qids)[:, None] == pdf["id"].to_numpy()[None, :]] = -np.inf
                 at = s.argmax(axis=1)
-                yield pd.DataFrame({"id": qids, "old": pdf["id"].to_numpy()[at], "cluster_id": pdf["cluster_id"].to_numpy()[at], "score": s[np.arange(len(s)), at]})
+                found = pd.DataFrame({"id": qids, "old": pdf["id"].to_numpy()[at], "cluster_id": pdf["cluster_id"].to_numpy()[at], "score": s[np.arange(len(s)), at]})
+                yield found[found["score"] > -np.inf]
 
     old_kind = old.schema["id"].dataType.simpleString()
     found = old.select("id", "vec", "cluster_id").mapInPandas(best, f"id {kind}, old {old_kind}, cluster_id {label}, score double")

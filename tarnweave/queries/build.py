@@ -131,13 +131,13 @@ def coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {_VECS}, s AS (SELECT x.vec_id AS id, y.vec_id AS old, y.cluster_id, round({_COS}, 6) AS score FROM v x JOIN v y ON x.vec_id % 5 = 0 AND y.vec_id % 5 <> 0)
+    f"""WITH {_VECS}, s AS (SELECT x.vec_id AS id, y.vec_id AS old, y.cluster_id, round({_COS}, 6) AS score FROM v x JOIN v y ON x.vec_id % 20 = 0 AND y.vec_id <> x.vec_id)
 SELECT id, cluster_id, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, old) AS r FROM s) WHERE r = 1"""
 )
 def nearest_cluster_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every fifth vector arrives as new and meets the others."""
+    """The vectors whose id is divisible by 20, the query set of searches, against all others."""
     vecs = standin.vectors(spark, sf_dir).withColumnRenamed("vec_id", "id")
-    return V.nearest_cluster(vecs.where("id % 5 = 0"), vecs.where("id % 5 <> 0"))
+    return V.nearest_cluster(vecs.where("id % 20 = 0"), vecs, apart=True)
 
 
 @query(
@@ -214,13 +214,13 @@ def batch_upload_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.manifest_status(manifest.withColumnRenamed("source", "linked_to"), files).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, array_to_string(list_filter(string_split_regex(coalesce(text, ''), '[\\s\\x0b]+'), lambda w: w <> '')[1:40], ' ') AS summary FROM documents WHERE doc_id % 3 <> 0")
+@query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'held' ELSE array_to_string(list_filter(string_split_regex(coalesce(text, ''), '[\\s\\x0b]+'), lambda w: w <> '')[1:40], ' ') END AS summary FROM documents")
 def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """M1's offline default where no summary is held: the leading tokens."""
+    """M1: the summary that is held, else its offline default, the leading tokens."""
     from tarnweave.functions.models import leading_summary
 
     d = table(spark, sf_dir, "documents").withColumn("summary", F.when(F.col("doc_id") % 3 == 0, F.lit("held")))
-    return d.where("summary is null").select("doc_id", leading_summary(F.col("text"), 40).alias("summary"))
+    return d.select("doc_id", F.coalesce("summary", leading_summary(F.col("text"), 40)).alias("summary"))
 
 
 @query()
