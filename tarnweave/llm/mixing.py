@@ -135,7 +135,8 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         taken.append(found.where("take").drop("need"))
         left = found.groupBy("s").agg((F.first("need") - F.sum(F.when(F.col("take"), F.col("size")).otherwise(0))).alias("left"), F.count(F.lit(1)).alias("k"))
         hot, rest = join_groups(found.where("not take"), materialise(left, "left"), ["s"], "k", found.count())
-        both = hot.unionByName(rest).drop("k", "need")
+        # written, so that neither later passes nor the result join again
+        both = materialise(hot.unionByName(rest).drop("k", "need"), f"rest{round_}")
         taken.append(both.where("size > left").drop("left"))
         open_ = both.where("size <= left").drop("take").withColumnRenamed("left", "need")
         round_ += 1
