@@ -13,13 +13,17 @@ from tarnweave.llm.screen import without
 from tarnweave.llm.text import learns
 from tarnweave.llm.toxicity import drop_toxic, fit_toxicity
 from tarnweave.llm.vocabularies import public_vocabulary
-from tarnweave.storage import materialise
+from tarnweave.storage import arrow_rows, materialise
+
+#: Rows of whole texts that go to Python at a time; ``bpe`` puts smaller batches together by their bytes.
+TEXT_ROWS, BPE_ROWS = 1000, 200
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the induced lexicon rejects go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(learns(F.col("doc_id"), 4, 2))
-    return drop_toxic(docs, fit_toxicity(docs, labels))
+    with arrow_rows(spark, TEXT_ROWS):
+        return materialise(drop_toxic(docs, fit_toxicity(docs, labels)), "clean")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,7 +45,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text, and the digest of what they decode to."""
     coded = bpe_encode(docs, public_vocabulary("word_bpe_49k.json"))
-    return coded.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    coded = coded.select(F.col("id").alias("doc_id"), "n_tokens", "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    with arrow_rows(spark, BPE_ROWS):
+        return materialise(coded, "encoded")
 
 
 STAGES = [("toxicity", toxicity), ("exact_dedup", exact), ("near_dedup", near), ("source_mix", mix), ("bpe", encode)]
@@ -53,5 +59,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir), name)
+        docs = stage(spark, docs, sf_dir)
+        if not hasattr(docs, "_scratch"):  # else the stage wrote it
+            docs = materialise(docs, name)
     return docs

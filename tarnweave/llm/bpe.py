@@ -18,7 +18,7 @@ import json
 import re
 import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -246,6 +246,20 @@ def sliced(column: pa.Array, size: int = SLICE_CHARS) -> Iterator[tuple[int, int
         yield start, len(column), column.slice(start).to_pylist()
 
 
+def gathered(batches: Iterable[pa.RecordBatch], at: int, size: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
+    """Small batches put together up to about ``size`` bytes of column ``at``, so that slices fill whatever the batches' rows."""
+    parts, held = [], 0
+    for batch in batches:
+        n = pc.sum(pc.binary_length(batch.column(at))).as_py() or 0
+        if parts and held + n > size:
+            yield pa.concat_batches(parts)
+            parts, held = [], 0
+        parts.append(batch)
+        held += n
+    if parts:
+        yield pa.concat_batches(parts)
+
+
 def slices(texts: list[str | None], chars: int = SLICE_CHARS) -> Iterator[tuple[int, int]]:
     """Ranges of rows of about ``chars`` characters; a longer text is a range of its own."""
     start, held = 0, 0
@@ -267,7 +281,7 @@ def bpe_encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
 
     def run(batches):
         bpe = coder(path)
-        for batch in batches:
+        for batch in gathered(batches, 1):
             for a, b, texts in sliced(batch.column(1)):
                 ids, text = bpe.encode(texts)
                 n = pa.array([len(x) // 4 for x in ids], pa.int64())

@@ -31,7 +31,7 @@ from tarnweave.llm.components import components
 from tarnweave.llm.screen import build_filters, screen
 from tarnweave.llm.skew import join_groups
 from tarnweave.llm.worker import held, release
-from tarnweave.storage import discard, materialise
+from tarnweave.storage import arrow_rows, discard, materialise
 
 SHINGLE = 5
 #: Bands and samples in each: a pair at similarity 0.7 shares no bucket with probability (1 - 0.7^5)^64, under 1e-5.
@@ -46,6 +46,8 @@ BLOCK, TOGETHER = 2048, 8192
 TASK_BYTES, CLASS_BYTES, SENT_ROWS = 4 << 20, 12 << 20, 100_000
 #: Bytes of a slice of texts, and words whose hashes a worker remembers.
 SLICE_CHARS, REMEMBERED = 1 << 20, 100_000
+#: Rows of whole texts that go to Python at a time.
+TEXT_ROWS = 1000
 
 _U = np.uint64
 _rng = np.random.default_rng(20240229)
@@ -156,6 +158,7 @@ def _signed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     ],
                     names=["id", "n", "digest", "bands", "sketch"],
                 )
+        release()
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n long, digest binary, bands array<long>, sketch array<long>")
 
@@ -298,6 +301,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, id_col: str, text_col: str) -> Data
             for _, _, texts in sliced(batch.column(1), SLICE_CHARS):
                 found = [s.tobytes() for s in shingle_sets(texts)]
                 yield pa.RecordBatch.from_arrays([pa.array([hashlib.sha256(s).digest() for s in found], pa.binary()), pa.array(found, pa.binary())], names=["digest", "members"])
+        release()
 
     return rows.mapInArrow(sets, "digest binary, members binary").select(F.xxhash64("digest").alias("node"), "members")
 
@@ -345,7 +349,9 @@ def _tiled(rows: DataFrame, group: str, tasks: Column) -> DataFrame:
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 70) -> DataFrame:
     """Every row's (id, n_shingles, component_id); links are 100 * intersection >= percent * union of full sets."""
-    signed = materialise(_signed(docs, id_col, text_col), "signed")
+    spark = docs.sparkSession
+    with arrow_rows(spark, TEXT_ROWS):
+        signed = materialise(_signed(docs, id_col, text_col), "signed")
     rows = materialise(signed.select("id", "n", "digest"), "rows")
     n_rows = rows.count()
     classes = rows.groupBy("digest").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("size"), F.first("n").alias("n"))
@@ -386,7 +392,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # first each member with its nearest pivot alone: what that links needs no other comparison
     best = pairs.groupBy("b").agg(F.min_by(F.struct("a", "na", "nb"), F.struct("flips", "a")).alias("p")).select("p.a", "b", "p.na", "p.nb")
     best = materialise(best, "best")
-    links = materialise(_confirm_pivots(docs, best, nodes, id_col, text_col, percent), "confirmed")
+    confirmed = _confirm_pivots(docs, best, nodes, id_col, text_col, percent)
+    with arrow_rows(spark, TEXT_ROWS):
+        links = materialise(confirmed, "confirmed")
 
     # buckets that still hold several components: classes of candidates across components, in blocks, then their sets
     comp = materialise(components(links), "first")
@@ -405,7 +413,8 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             classed = components(spans).withColumnRenamed("component", "class").join(comp, "node", "left")
             classed = classed.select("node", "class", F.coalesce("component", "node").alias("comp")).join(sketches, "node")
             late = _confirm_classes(docs, materialise(classed, "classed"), nodes, id_col, text_col, percent, flips)
-            links = links.unionByName(materialise(late, "late"))
+            with arrow_rows(spark, TEXT_ROWS):
+                links = links.unionByName(materialise(late, "late"))
 
     # links between nodes become links between ids, whose components carry the smallest id
     named = links.join(nodes.select(F.col("node").alias("a"), F.col("rep").alias("x")), "a").join(nodes.select(F.col("node").alias("b"), F.col("rep").alias("y")), "b")

@@ -7,11 +7,14 @@ import gc
 from collections.abc import Callable
 from typing import Any
 
+import pyarrow as pa
+
 _slot: dict[str, Any] = {}
 
 
 def _trim() -> None:
     gc.collect()
+    pa.default_memory_pool().release_unused()  # Arrow's pool isn't the C library's
     try:
         ctypes.CDLL("libc.so.6").malloc_trim(0)
     except OSError:  # another C library returns memory by itself

@@ -1,11 +1,15 @@
 import random
+import subprocess
+import sys
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 import corpus_pipeline as P
-from tarnweave.llm.bpe import PairIndexBPE
+from tarnweave.llm.bpe import PairIndexBPE, gathered
 from tarnweave.llm.exact_dedup import exact_dedup
 from tarnweave.llm.mixing import n_words
 from tarnweave.llm.near_dedup import near_dedup
@@ -58,3 +62,50 @@ def test_stages(spark, tmp_path):
     for r in held[5].collect():
         assert bytes(r.ids) == bpe.encode([texts[r.doc_id]])[0][0] and r.n_tokens == len(np.frombuffer(bytes(r.ids), "<u4"))
     assert ids[5] == ids[4]
+
+
+ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def test_encode_sends_few_texts_at_a_time(spark, tmp_path, monkeypatch):
+    def counted(batches):
+        for batch in batches:
+            n = pa.array([batch.num_rows] * batch.num_rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), n, pa.array([b""] * len(n)), pa.array([""] * len(n))], names=["id", "n_tokens", "ids", "decoded"])
+
+    monkeypatch.setattr(P, "bpe_encode", lambda docs, path: docs.select("id", "text").mapInArrow(counted, "id long, n_tokens long, ids binary, decoded string"))
+    docs = spark.range(0, 3000, 1, 1).withColumn("text", F.lit("a b"))
+    for set_ in (None, "7"):  # a session that asks for fewer gets fewer, and keeps its setting
+        spark.conf.unset(ROWS) if set_ is None else spark.conf.set(ROWS, set_)
+        found = [r.n_tokens for r in P.encode(spark, docs, "").collect()]
+        assert len(found) == 3000 and max(found) <= (int(set_) if set_ else P.BPE_ROWS) and spark.conf.get(ROWS, None) == set_
+    spark.conf.unset(ROWS)
+
+
+def test_small_batches_fill_slices():
+    texts = [None, "", "a", "bb" * 40, "c"] * 20
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(k, k + 5)), pa.array(texts[k : k + 5], pa.string())], names=["id", "text"]) for k in range(0, 100, 5)]
+    put = list(gathered([batches[0].slice(0, 0), *batches], 1, 250))
+    assert len(put) == 7 and [x for b in put for x in b.column(0).to_pylist()] == list(range(100))
+    assert [x for b in put for x in b.column(1).to_pylist()] == texts
+    assert len(list(gathered(batches, 1, 10))) == 20 and not list(gathered([], 1))
+
+
+def test_release_returns_arrow_memory():
+    """In a process of its own: what Arrow's pool no longer uses goes back to the system."""
+    code = """
+import re
+import pyarrow as pa
+from tarnweave.llm.worker import release
+anon = lambda: sum(map(int, re.findall(r"Anonymous:\\s+(\\d+)", open("/proc/self/smaps_rollup").read())))
+release()
+before = anon()
+held = [pa.array([b"x" * 100_000] * 40) for _ in range(25)]
+assert anon() > before + 60_000
+del held
+release()
+print(anon() - before)
+"""
+    said = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=Path(P.__file__).parent)
+    assert said.returncode == 0, said.stderr
+    assert int(said.stdout) < 60_000
