@@ -29,7 +29,7 @@ def extract_keywords(chunks: DataFrame, phrase_vectors: DataFrame | None = None,
     """(shadow_id, phrase, score) over chunks (shadow_id, text, vec)."""
     kept = K.document_frequency(chunks)
     vectors = embed_phrases(kept, phrase_vectors, embed)
-    return K.top_keywords(K.chunk_phrases(chunks).join(kept.select("phrase"), "phrase"), chunks, vectors, k)
+    return K.top_keywords(chunks, chunks, vectors, k)
 
 
 def content_key(vectors: DataFrame) -> str:
