@@ -50,6 +50,27 @@ def test_fallback_searches_everything(spark, corpus):
     assert found.count() == 12 and clusters.count() == 0
 
 
+def test_no_cap_takes_all_of_a_cluster(spark, corpus):
+    q = asked(spark, "topic1 battery supply")
+    capped, _ = anchors(q, corpus, Settings(clusters=2, per_cluster=4, seeds=2, cap=2))
+    every, clusters = anchors(q, corpus, Settings(clusters=2, per_cluster=4, seeds=2, cap=None))
+    wide, _ = anchors(q, corpus, Settings(clusters=2, per_cluster=4, seeds=2, cap=12))
+    held = clusters.count()
+    assert capped.count() < every.count() == 4 * held and sorted(map(tuple, every.collect())) == sorted(map(tuple, wide.collect()))
+
+
+def test_links_of_some_sections_are_those_of_all_pairs(spark):
+    import numpy as np
+
+    from tarnweave.operators import vectors as V
+
+    x = np.random.default_rng(5).normal(size=(40, 6))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, vec array<double>")
+    every = {(r.id_a, r.id_b, r.score) for r in V.similarity_edges(rows, 0.4).collect()}
+    want = {(a, b, s) for a, b, s in every | {(b, a, s) for a, b, s in every} if a % 7 == 0}
+    assert {tuple(r) for r in V.similar_to(rows.where("id % 7 = 0"), rows, 0.4).collect()} == want
+
+
 def test_build(spark, tmp_path):
     rows = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0])], "id long, vec array<double>")
     chunks = spark.createDataFrame([("a", 0), ("b", 2)], "shadow_id string, id long")
