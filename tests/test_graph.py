@@ -32,6 +32,23 @@ def test_similarity_edges_match_brute_force(spark):
         V.BLOCK = before
 
 
+def test_nearest_cluster_by_blocks_and_tiles(spark, monkeypatch):
+    for name, n in (("OLD_BLOCK", 30), ("TILE", 7), ("TILE_ROWS", 5)):
+        monkeypatch.setattr(V, name, n)
+    x = np.random.default_rng(4).normal(size=(80, 6)).astype(np.float32)
+    x[50], x[60], x[7] = x[3], x[3], 0  # equal vectors, and one without direction
+    df = spark.createDataFrame([(i, v.tolist(), i % 9) for i, v in enumerate(x)] + [(99, None, 1)], "id long, vec array<float>, cluster_id long")
+    u = x.astype(float) / (np.linalg.norm(x.astype(float), axis=1, keepdims=True) + 1e-9)
+    for apart in (False, True):
+        s = np.round(u @ u.T, 6)
+        if apart:
+            np.fill_diagonal(s, -np.inf)
+        at = s.argmax(axis=1)  # the first on ties
+        want = [(i, int(at[i]) % 9, s[i, at[i]] + 0.0) for i in range(80)]
+        got = [(r.id, r.cluster_id, r.score + 0.0) for r in V.nearest_cluster(df, df, apart=apart).where("id < 99").orderBy("id").collect()]
+        assert got == want
+
+
 def test_louvain(spark):
     clique = lambda a: [(a + i, a + j) for i in range(5) for j in range(i + 1, 5)]
     edges = spark.createDataFrame(clique(0) + clique(10) + clique(20) + [(4, 10), (14, 20)], "id_a long, id_b long")
