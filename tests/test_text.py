@@ -24,6 +24,7 @@ def test_cleaning(spark):
 def test_html():
     page = "<html><style>p{}</style><h1>Title</h1><table><tr><th>a</th><td>b c</td></tr><tr></tr></table><p>x &amp; y</p><script>z</script></html>"
     assert T.html_text(page) == "## Title\nTitle\n[TABLE]\na | b c\n[/TABLE]\nx & y"
+    assert T.html_text("<title>a &amp;&amp</title><p>b&lt;c & d &copy e</p>") == "a &&amp\nb<c & d &copy e"
     assert T.html_text(None) is None and T.html_text("") == ""
 
 
@@ -69,3 +70,11 @@ def test_phrases(spark):
     assert one(spark, " ".join(words) + " https://www.x.com https://www.x.com", keywords.is_boilerplate) is True
     assert one(spark, " ".join([*words, *["zzz"] * 30]), keywords.is_boilerplate) is True
     assert one(spark, None, keywords.is_boilerplate) is True
+
+
+def test_summaries_of_empty_texts(spark, tmp_path):
+    from tarnweave.queries.build import summaries
+
+    rows = [(0, "held one"), (1, ""), (2, " \n\x0b"), (4, None), (5, " a  b ")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert {r.doc_id: r.summary for r in summaries(spark, str(tmp_path)).collect()} == {0: "held", 1: "", 2: "", 4: "", 5: "a b"}
