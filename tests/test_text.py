@@ -78,3 +78,16 @@ def test_summaries_of_empty_texts(spark, tmp_path):
     rows = [(0, "held one"), (1, ""), (2, " \n\x0b"), (4, None), (5, " a  b ")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     assert {r.doc_id: r.summary for r in summaries(spark, str(tmp_path)).collect()} == {0: "held", 1: "", 2: "", 4: "", 5: "a b"}
+
+
+def test_clean_text_is_its_steps(spark):
+    import random
+
+    rnd = random.Random(7)
+    parts = ["XBRL Viewer", "ix:foo bar", "Loading...", "ITEM 1a.", "item 9b", "Item 7 Foo", "RISK", "[TABLE]", "[/table]", " \t", "\n", "\n\n\n", "\r\n", "\x0b", "\x85", " ", "\xa0", "FORM 10-K", "form 10‑q", "Annual  Report", "UNITED STATES SECURITIES AND EXCHANGE COMMISSION", "größe", "text", "please enable JavaScript to use the EDGAR Inline XBRL Viewer."]
+    rows = spark.createDataFrame([(i, "".join(rnd.choice(parts) + rnd.choice([" ", "\n", ""]) for _ in range(25))) for i in range(300)] + [(300, ""), (301, None)], "id long, x string")
+    kept = rows.select("id", "x", T.strip_noise_lines(F.col("x")).alias("k"))
+    steps = kept.select("id", "x", T.normalize_whitespace(T.normalize_items(F.substr("k", T.document_start(F.col("k")) + 1))).alias("steps"))
+    assert steps.where(~F.col("steps").eqNullSafe(T.clean_text(F.col("x")))).select("id", "x", "steps").take(3) == []
+    plan = rows.select(T.clean_text(F.col("x")).alias("y"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("XBRL") == 0  # the noise pattern isn't repeated for each use of its result
