@@ -52,9 +52,9 @@ def test_fallback_searches_everything(spark, corpus):
 
 def test_no_cap_takes_all_of_a_cluster(spark, corpus):
     q = asked(spark, "topic1 battery supply")
-    capped, _ = anchors(q, corpus, Settings(clusters=2, per_cluster=4, seeds=2, cap=2))
-    every, clusters = anchors(q, corpus, Settings(clusters=2, per_cluster=4, seeds=2, cap=None))
-    wide, _ = anchors(q, corpus, Settings(clusters=2, per_cluster=4, seeds=2, cap=12))
+    capped, _ = anchors(q, corpus, Settings(clusters=2, per_cluster=4, seeds=2, cap=2, fallback_under=0))
+    every, clusters = anchors(q, corpus, Settings(clusters=2, per_cluster=4, seeds=2, cap=None, fallback_under=0))
+    wide, _ = anchors(q, corpus, Settings(clusters=2, per_cluster=4, seeds=2, cap=12, fallback_under=0))
     held = clusters.count()
     assert capped.count() < every.count() == 4 * held and sorted(map(tuple, every.collect())) == sorted(map(tuple, wide.collect()))
 
