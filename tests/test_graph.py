@@ -32,6 +32,20 @@ def test_similarity_edges_match_brute_force(spark):
         V.BLOCK = before
 
 
+def test_cooccurrence_meets_by_three_phrases(spark):
+    import itertools
+
+    rng = np.random.default_rng(6)
+    sets = {f"s{i:02}": {f"p{k}" for k in rng.integers(0, 14, rng.integers(2, 12))} | {"all"} for i in range(40)}
+    table = spark.createDataFrame([(s, p) for s, held in sets.items() for p in held], "section_id string, phrase string")
+    linked = spark.createDataFrame([("s03", "s01", 0.9)], "id_a string, id_b string, score double")
+    for least in (2, 4, 7):
+        got = G.keyword_cooccurrence(table, linked, least)
+        want = [(a, b, n) for a, b in itertools.combinations(sorted(sets), 2) if (n := len(sets[a] & sets[b])) >= least and (a, b) != ("s01", "s03")]
+        assert rows(got, "id_a", "id_b", "shared") == want
+        assert "key" in got._jdf.queryExecution().optimizedPlan().toString()  # not a join by each phrase
+
+
 def test_nearest_cluster_by_blocks_and_tiles(spark, monkeypatch):
     for name, n in (("OLD_BLOCK", 30), ("TILE", 7), ("TILE_ROWS", 5)):
         monkeypatch.setattr(V, name, n)
